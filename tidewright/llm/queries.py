@@ -5,25 +5,71 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding, warc
+from . import decontaminate, extract, minhash, neighbours, packing, pii, quality, sharding, toxicity, warc
 from .common import table
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a WARC record, written, normalised and read back."""
     out = warc.archive_pages(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in all documents."""
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every 50th id."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items held by documents, with the edits between item and passage."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents on a bounded-load ring of 16 shards."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 16)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 1024 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates by 2-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_warc": op1_warc,
-    "op7_sharding": op7_sharding,
+    q.__name__: q for q in (op1_warc, op2_toxicity, op3_pii, op4_neighbours, op5_extract, op6_decontaminate, op7_sharding, op8_packing, op9_quality, op10_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
