@@ -142,6 +142,12 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
+def cleaned(docs: DataFrame) -> DataFrame:
+    """Redacted documents, their n_chars that of the new text (unchanged for null texts)."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``[KIND]``; of overlapping spans
     the earliest, and of those the longest, names the replacement, and all are covered. Texts

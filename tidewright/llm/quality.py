@@ -157,6 +157,24 @@ def fit(labelled: DataFrame, label: str) -> Model | None:
     return Model(scale, solve(a.sum(0), b.sum(0)), isotonic(raw, y))
 
 
+def trained(docs: DataFrame, labels: DataFrame, label: str) -> Model | None:
+    """The model of the labelled documents; None if there are none."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias("y"))
+    share = min(1.0, MAX_LABELLED / max(known.count(), 1))
+    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).withColumnRenamed("doc_id", "_id")
+    # at most about MAX_LABELLED rows of two numbers
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    stats = measured(sample.select("doc_id", "text")).join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    return fit(scratch.write(stats.select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled"), "y")
+
+
+def scores_of(model: Model | None, texts: list[str | None]) -> np.ndarray:
+    if model is None or not texts:
+        return np.full(len(texts), 0.5)
+    return model.score(np.array([statistics(x) for x in texts], dtype=np.float64))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
@@ -164,27 +182,27 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     from. A null text counts as empty. Without any label every score is 0.5. Repeated rows
     are scored each; a null doc_id is scored and not held out.
     """
-    scratch = Scratch(docs.sparkSession, "quality")
-    stats = scratch.write(measured(docs), "stats")
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias("y"))
-    share = min(1.0, MAX_LABELLED / max(known.count(), 1))
-    picked = known.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    labelled = scratch.write(stats.join(picked, "doc_id").select("x", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "labelled")
-    model = fit(labelled, "y")
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, label))
 
     def run(batches):
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), dtype=np.float64).reshape(batch.num_rows, len(NAMES))
-            s = sent.value.score(x) if sent.value else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores_of(sent.value, part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    scored = stats.mapInArrow(run, "doc_id bigint, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score reaches the threshold; rows without id stay, as a
-    score can't be told apart for them."""
-    good = score_documents(docs, labels).where("predicted = 1 and doc_id is not null").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col("doc_id") == F.col("_good"), "left_semi").unionByName(docs.where("doc_id is null"))
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text reaches the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, label))
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
+                yield part.filter(pa.array(scores_of(sent.value, part.column(at).to_pylist()) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
