@@ -1,0 +1 @@
+"""Maintenance operators: change images, summary deltas, scoped recompute, verification."""
