@@ -29,8 +29,6 @@ SHARD_TOKENS = 4_000_000
 #: Terms of a seed that are looked up, by weight.
 QUERY_TERMS = 12
 K1, B = 1.2, 0.75
-#: Word chunks whose ids a worker remembers at once; beyond, it starts anew.
-REMEMBERED = 400_000
 
 
 def byte_of_char() -> dict[str, int]:
@@ -41,12 +39,8 @@ def byte_of_char() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of the byte-level BPE in a ``tokenizers`` JSON file.
-
-    A text is cut at single blanks and line ends, where this family's pre-tokenizer always
-    cuts too, and the ids of each chunk are remembered; texts with other white space go
-    through whole. The merges of such a file are in id order, so its ids are its ranks.
-    """
+    """Ids of the byte-level BPE in a ``tokenizers`` JSON file, whose merges are in id order,
+    so that its ids are the ranks of its pieces."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -56,26 +50,11 @@ class Encoder:
             vocab = json.load(f)["model"]["vocab"]
         chars = byte_of_char()
         ranks = {bytes(chars[c] for c in w): i for w, i in vocab.items() if all(c in chars for c in w) and w != "<|endoftext|>"}
-        self.size = max(vocab.values()) + 1
-        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bytes] = {}
+        self.encoding = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 16-bit ids (the vocabulary is smaller than 2**16)."""
-        plain = text.replace("\n", " \n ") if "\n" in text else text
-        if "\0" in text or "  " in plain.replace(" \n ", "\n") or " \n" in text or "\n " in text or "\n\n" in text or text[-1:] in (" ", "\n") or not text.isprintable() and not text.replace("\n", "").isprintable():
-            return np.array(self.encode(text), dtype="<u2").tobytes()
-        chunks = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        known = self.known
-        try:
-            return b"".join([known[c] for c in chunks])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = np.array(self.encode(c), dtype="<u2").tobytes()
-            return b"".join([known[c] for c in chunks])
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes() if text else b""
 
 
 @cache
