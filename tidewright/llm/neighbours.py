@@ -19,6 +19,8 @@ from .common import Scratch
 ORDERINGS, DIRECTIONS, BITS = 5, 6, 10
 #: Blocks of an ordering, and how many on each side of its own a query is compared with.
 BLOCKS, REACH = 48, 9
+#: Rows of a block at least, so that small tables are compared as a whole.
+LEAST_ROWS = 32
 #: Rows of a block that are handled together.
 TASK_ROWS = 8192
 
@@ -125,9 +127,11 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, vec: str = "embed
     held = scratch.write(indexed(vectors, orderings, vec), "keys")
     flat = held.select("vec_id", "v", "dim", F.posexplode("keys").alias("ordering", "key"))
     # at most `blocks` bounds per ordering and vector length
-    bounds = flat.groupBy("dim", "ordering").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("bounds"))
+    bounds = flat.groupBy("dim", "ordering").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("bounds"), F.count(F.lit(1)).alias("n"))
     lower = F.size(F.filter("bounds", lambda b: b < F.col("key")))
-    placed = flat.join(F.broadcast(bounds), ["dim", "ordering"]).select("vec_id", "v", "dim", "ordering", lower.alias("block"))
+    number = F.least(F.lit(blocks), F.greatest(F.lit(1), F.floor(F.col("n") / LEAST_ROWS)))
+    block = F.floor(lower * number / blocks).cast("int")
+    placed = flat.join(F.broadcast(bounds), ["dim", "ordering"]).select("vec_id", "v", "dim", "ordering", block.alias("block"))
     sizes = placed.groupBy("dim", "ordering", "block").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("parts"))
     place = ["dim", "ordering", "block"]
     rows = placed.join(F.broadcast(sizes), place).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))

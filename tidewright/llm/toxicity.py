@@ -37,7 +37,7 @@ REPORTS = "said says told wrote called claimed reported according quoted sagte s
 TARGET_GAIN, NEGATION_LOSS, REPORT_LOSS, NEAR = 0.25, 0.5, 0.3, 3
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+_CLAUSE = re.compile(r"[.!?;\n]+")
 
 
 def stems_of(text: str | None) -> set[str]:
