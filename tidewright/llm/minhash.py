@@ -10,8 +10,8 @@ agree in a band share a bucket. A bucket compares all its classes with one pivot
 with the most bucket mates, the same hub in most buckets of a group), so pairs grow with the
 rows and not with their square; links are confirmed on full sets and components found by
 label propagation. What a star can't decide is decided after that: in buckets that still hold
-several components, pairs of different components whose signatures don't rule out a link are
-confirmed as well, in blocks of bounded size.
+several components, classes whose signatures don't rule out a link between components meet
+in blocks of bounded size with their sets; only what is linked there leaves the block.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ SLOTS = 1 << 21
 BANDS, ROWS = 32, 6
 COORDS = BANDS * ROWS
 #: Classes of a bucket that are compared in one block.
-BLOCK = 64
+BLOCK = 512
 #: Standard deviations of the signature's estimate that a compared pair may lack.
 SLACK = 4.0
 
@@ -192,63 +192,119 @@ def starred(members: DataFrame) -> DataFrame:
     return members.join(pivots, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and that neither sizes nor
-    signatures rule out; if ``best_only``, of those a class has in a block with one other
-    component only the likeliest."""
+def in_units(rows: DataFrame, work, schema: str) -> DataFrame:
+    """``rows`` sorted by their first column ``unit``, and ``work`` on the columns of each unit
+    in turn: one unit is in memory at a time, and units are of bounded size."""
+    names = rows.columns[1:]
+
+    def run(batches):
+        unit, held = None, []
+        for batch in batches:
+            out = []
+            for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if u != unit:
+                    if len(held) > 1:
+                        out += work(unit, dict(zip(names, zip(*held, strict=True), strict=True)))
+                    unit, held = u, []
+                held.append(row)
+            yield rows_batch(out, schema)
+        yield rows_batch(list(work(unit, dict(zip(names, zip(*held, strict=True), strict=True)))) if len(held) > 1 else [], schema)
+
+    return rows.repartition("unit").sortWithinPartitions("unit", "own", "id").mapInArrow(run, schema)
+
+
+def rows_batch(rows: list, schema: str) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in columns], names)
+
+
+def partners(unit: dict, percent: int, least: float):
+    """(i, js): rows of the unit that may be linked with row i and stand in another component;
+    of a unit of two blocks, rows of the other block only."""
+    ids, comps, sizes, own = (np.array(unit[c]) for c in ("id", "component", "n_shingles", "own"))
+    low = np.frombuffer(b"".join(unit["low"]), np.uint8).reshape(len(ids), -1)
+    one = own.min() == own.max()
+    for i in range(len(ids) - 1):
+        j = np.arange(i + 1, len(ids))
+        j = j[(comps[j] != comps[i]) & (ids[j] != ids[i]) & (one | (own[j] != own[i]))]
+        j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
+        j = j[(low[j] == low[i]).mean(axis=1) >= least] if len(j) else j
+        if len(j):
+            yield i, j
+
+
+def least_agreement(percent: int) -> float:
+    return max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5)
+
+
+def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(unit, id, component, own): classes that share a bucket with a class of another
+    component to which neither sizes nor signatures rule out a link. A bucket of more than
+    ``BLOCK`` classes is cut into blocks, and each pair of blocks is a unit."""
     owned = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
     rows = owned.join(mixed.select("key", "m"), "key").join(classes.select("id", "n_shingles", "low"), "id")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
     rows = rows.select("key", "id", "component", "n_shingles", "low", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    rows = rows.withColumn("unit", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).withColumn("same", F.col("own") == F.col("other"))
-    least = max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5)
-
-    def block(ids, comps, sizes, low, own):
-        """Within one unit: pairs from its two parts, or inside its only part."""
-        n = len(ids)
-        one = own.min() == own.max()
-        for i in range(n - 1):
-            j = np.arange(i + 1, n)
-            j = j[(comps[j] != comps[i]) & (ids[j] != ids[i]) & (one | (own[j] != own[i]))]
-            j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
-            if not len(j):
-                continue
-            near = (low[j] == low[i]).mean(axis=1)
-            j, near = j[near >= least], near[near >= least]
-            if best_only and len(j):
-                j = j[np.argsort(-near, kind="stable")]
-                j = j[np.unique(comps[j], return_index=True)[1]]
-            for k in j:
-                yield min(ids[i], ids[k]), max(ids[i], ids[k])
+    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    least = least_agreement(percent)
 
-    def run(batches):
-        held = []
+    def work(key, unit):
+        found = sorted({int(k) for i, j in partners(unit, percent, least) for k in (i, *j)})
+        return [(key, unit["id"][k], unit["component"][k], unit["own"][k]) for k in found]
 
-        def flush():
-            if len(held) > 1:
-                ids, comps, sizes, own = (np.array([h[k] for h in held]) for k in (0, 1, 2, 4))
-                yield from block(ids, comps, sizes, np.frombuffer(b"".join(h[3] for h in held), np.uint8).reshape(len(held), -1), own)
+    return in_units(rows.select(unit.alias("unit"), "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint")
 
-        unit, out = None, []
-        for batch in batches:
-            for u, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if u != unit:
-                    out += flush()
-                    unit, held = u, []
-                held.append(row)
-            yield pairs_batch(out)
-            out = []
-        yield pairs_batch(list(flush()))
 
-    sorted_rows = rows.select("unit", "id", "component", "n_shingles", "low", "own").repartition("unit").sortWithinPartitions("unit", "own", "id")
-    return sorted_rows.mapInArrow(run, "a bigint, b bigint").distinct()
+def likely_links(active: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) inside the units of ``active`` whose sets, as 32-bit numbers, reach the
+    threshold or fall short of it by what collisions can hide. Once a pair is sure to be
+    linked, its components count as one within the unit."""
+    wanted = active.select(F.col("id").alias("_need")).distinct()
 
+    def numbers(batches):
+        for batch in batches:
+            sets = [np.unique((shingle_set(x, size) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "numbers"])
+
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id") == F.col("_need"), "left_semi")
+    sets = texts.mapInArrow(numbers, "id bigint, numbers binary")
+    rows = active.join(classes.select("id", "n_shingles", "low"), "id").join(sets, "id")
+    least = least_agreement(percent)
+
+    def work(key, unit):
+        numbers = [np.frombuffer(x, np.uint32) for x in unit["numbers"]]
+        ids, merged = unit["id"], {}
+
+        def top(c):
+            while c in merged:
+                c = merged[c]
+            return c
+
+        for i, j in partners(unit, percent, least):
+            a = numbers[i]
+            j = [k for k in j if top(unit["component"][k]) != top(unit["component"][i])]
+            if not j or not len(a):
+                continue
+            ends = np.cumsum([len(numbers[k]) for k in j])
+            every = np.concatenate([numbers[k] for k in j])
+            at = np.minimum(np.searchsorted(a, every), len(a) - 1)
+            upto = np.concatenate([[0], np.cumsum(a[at] == every)])
+            both = np.diff(upto[np.concatenate([[0], ends])])
+            for k, n in zip(j, both, strict=True):
+                union, spare = len(a) + len(numbers[k]) - n, 3 + (len(a) * len(numbers[k]) >> 30)
+                if 100 * (n + spare) < percent * (union - spare):
+                    continue
+                x, y = top(unit["component"][i]), top(unit["component"][k])
+                if x == y:
+                    continue
+                yield min(ids[i], ids[k]), max(ids[i], ids[k])
+                if 100 * (n - spare) >= percent * (union + spare):
+                    merged[x] = y
 
-def pairs_batch(pairs: list) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
-    return pa.RecordBatch.from_pydict({"a": pa.array([int(x) for x in a], pa.int64()), "b": pa.array([int(x) for x in b], pa.int64())})
+    return in_units(rows.select("unit", "id", "component", "n_shingles", "low", "own", "numbers"), work, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -274,13 +330,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     same = known.select("doc_id", "set_key").join(by_set.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     links = scratch.write(verified(starred(members), docs, size, percent), "star")
     labels = components(links, scratch, "star-labels")
-    for step, best_only in enumerate((True, False)):
-        pairs = scratch.write(undecided(members, labels, classes, percent, best_only), f"pairs{step}")
-        more = scratch.write(verified(pairs, docs, size, percent), f"more{step}")
+    active = scratch.write(undecided(members, labels, classes, percent), "active")
+    if active.limit(1).count():
+        pairs = scratch.write(likely_links(active, docs, classes, size, percent), "pairs")
+        more = scratch.write(verified(pairs, docs, size, percent), "more")
         if more.limit(1).count():
             links = links.union(more)
-            labels = components(links, scratch, f"labels{step}")
-        scratch.drop(f"pairs{step}")
+            labels = components(links, scratch, "labels")
+        scratch.drop("pairs")
+    scratch.drop("active", "members")
     split = by_set.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
     if split or known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").limit(1).count():
         labels = components(links.union(same), scratch, "all-labels")  # an id with several sets ties their classes together

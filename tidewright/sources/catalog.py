@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,19 @@ def table_name(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "_", name.lstrip(":")).lower()
 
 
+def captured(write):
+    """Log entry and new rows become visible together; dependents hear of them afterwards."""
+
+    @wraps(write)
+    def whole(self, *args, **options):
+        with self._lock:
+            write(self, *args, **options)
+            self.version += 1
+        self._published(self.name)
+
+    return whole
+
+
 class Table:
     """A base table: its newest rows, row id columns, and columns declared NOT NULL.
 
@@ -24,7 +39,8 @@ class Table:
     replaced or removed, and the rows that came. ``compact`` writes them out again.
     """
 
-    def __init__(self, name: str, rows: DataFrame, row_id: tuple[str, ...], not_null: tuple[str, ...], log: ChangeLog, published: Callable[[str], None]):
+    def __init__(self, name: str, rows: DataFrame, row_id: tuple[str, ...], not_null: tuple[str, ...], log: ChangeLog, published: Callable[[str], None], lock: threading.RLock):
+        self._lock = lock
         self.name, self.row_id, self.not_null = name, tuple(row_id), frozenset(not_null)
         self._rows, self._log, self._published = rows, log, published
         self.schema = rows.schema
@@ -35,26 +51,26 @@ class Table:
 
     def replace(self, rows: DataFrame) -> None:
         """New content without capture (a table that someone else writes)."""
-        self._rows, self.version = rows.select(*self.schema.fieldNames()), self.version + 1
+        with self._lock:
+            self._rows, self.version = rows.select(*self.schema.fieldNames()), self.version + 1
 
     def _record(self, changes: DataFrame) -> DataFrame:
         batch = self._log.append(self.name, changes, "managed")
         return self._log.rows([batch], self.name, self.schema)
 
-    def _done(self, rows: DataFrame) -> None:
-        self._rows, self.version = rows, self.version + 1
-        self._published(self.name)
-
+    @captured
     def insert(self, rows: DataFrame) -> None:
         written = self._record(full_images("create", None, rows, self.schema))
-        self._done(self._rows.unionByName(written.select("after.*")))
+        self._rows = self._rows.unionByName(written.select("after.*"))
 
+    @captured
     def delete(self, condition: str) -> None:
         """Removes the rows for which the SQL condition is true."""
         gone = F.coalesce(F.expr(condition), F.lit(False))
         self._record(full_images("destroy", self._rows.where(gone), None, self.schema))
-        self._done(self._rows.where(~gone))
+        self._rows = self._rows.where(~gone)
 
+    @captured
     def update(self, condition: str, values: dict[str, str]) -> None:
         """Sets columns to SQL expressions over the old row, where the condition is true."""
         hit = F.coalesce(F.expr(condition), F.lit(False))
@@ -63,8 +79,9 @@ class Table:
         names = F.array(*(F.lit(c) for c in self.schema.fieldNames()))
         changes = self._rows.where(hit).select(F.lit("update").alias("op"), old.alias("before"), new.alias("after"), names.alias("present_before"), names.alias("present_after"), F.lit(None).cast("long").alias("source_ts"))
         written = self._record(changes)
-        self._done(self._rows.where(~hit).unionByName(written.select("after.*")))
+        self._rows = self._rows.where(~hit).unionByName(written.select("after.*"))
 
+    @captured
     def upsert(self, rows: DataFrame) -> None:
         """Whole rows by row id: known ones are updated, others inserted."""
         if not self.row_id:
@@ -82,7 +99,7 @@ class Table:
         written = self._record(changes)
         ids = written.select("after.*").select(*self.row_id)
         kept = self._rows.join(ids, [self._rows[k].eqNullSafe(ids[k]) for k in self.row_id], "left_anti")
-        self._done(kept.unionByName(written.select("after.*")))
+        self._rows = kept.unionByName(written.select("after.*"))
 
     def compact(self, path: str) -> None:
         """Writes the rows out, so that reads don't merge any more."""
@@ -95,10 +112,11 @@ class Catalog:
 
     def __init__(self, log: ChangeLog, published: Callable[[str], None]):
         self._log, self._published, self._tables = log, published, {}
+        self.lock = threading.RLock()
 
     def register(self, name: str, rows: DataFrame, row_id: tuple[str, ...] = (), not_null: tuple[str, ...] = ()) -> Table:
         name = table_name(name)
-        self._tables[name] = Table(name, rows, row_id, not_null, self._log, self._published)
+        self._tables[name] = Table(name, rows, row_id, not_null, self._log, self._published, self.lock)
         return self._tables[name]
 
     def table(self, name: str) -> Table:
@@ -115,5 +133,10 @@ class Catalog:
         now = {n: t.rows() for n, t in self._tables.items()}
         return lambda name: now[table_name(name)] if table_name(name) in now else self.read(name)
 
+    def snapshot(self) -> tuple[int, Callable[[str], DataFrame]]:
+        """The log's head and a reader of the tables as of exactly that entry."""
+        with self.lock:
+            return self._log.head(), self.pinned()
+
     def __contains__(self, name: str) -> bool:
         return table_name(name) in self._tables

@@ -54,9 +54,11 @@ def stream_inserts(engine: Engine, table: str, rows: DataFrame, checkpoint: str,
     t = engine.catalog.table(table)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        logged = engine.log.append(t.name, full_images("create", None, batch, t.schema), "managed", f"{feed}:{batch_id}")
+        with engine.catalog.lock:
+            logged = engine.log.append(t.name, full_images("create", None, batch, t.schema), "managed", f"{feed}:{batch_id}")
+            if logged is not None:
+                t.replace(t.rows().unionByName(engine.log.rows([logged], t.name, t.schema).select("after.*")))
         if logged is not None:
-            t.replace(t.rows().unionByName(engine.log.rows([logged], t.name, t.schema).select("after.*")))
             _refresh_dependents(engine, table, "managed")
 
     return _start(rows, apply, checkpoint, interval)

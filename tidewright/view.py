@@ -25,6 +25,7 @@ class View:
     def __init__(self, engine, spec: ViewSpec):
         self.engine, self.spec, self.spark = engine, spec, engine.spark
         self.store = ViewStore(engine.spark, engine.config.state_dir, spec.name, spec.scope, spec.buckets)
+        self._resident: tuple[dict, DataFrame] | None = None
 
     # ---- state
 
@@ -118,20 +119,19 @@ class View:
         return self.store.update(merged)
 
     def _rebuild(self, m: Manifest):
-        head = self.engine.log.head()
-        written = self.store.write(m, live_state(self.spec, self.engine.catalog.pinned()))
+        head, read = self.engine.catalog.snapshot()
+        written = self.store.write(m, live_state(self.spec, read))
         return "rebuild", written | {"warm": True, "applied_seq": head, "fresh": None, "pending": (), "forced": False, "epoch": m.epoch + 1}, None
 
     def _maintain(self, m: Manifest):
         spec, log = self.spec, self.engine.log
-        head = log.head()
+        head, read = self.engine.catalog.snapshot()
         todo = [b for b in log.batches(m.applied_seq, head) if b.table in spec.depends_on and (b.widen or b.origin == spec.feed)]
         asked = [tuple(json.loads(k)) for k in m.pending]
         if not todo and not asked and not m.forced:
             return ("noop" if m.warm or m.refreshed_at else "skipped"), {"applied_seq": head}, None
         if not spec.grouped and spec.mode != "full" and not m.forced:
             return "skipped", {}, None  # only a rebuild can bring it up to date
-        read = self.engine.catalog.pinned()
         changes = {t: rows for t in spec.depends_on if (rows := log.rows(todo, t, self.engine.catalog.table(t).schema)) is not None}
         widen = m.forced or any(b.widen for b in todo) or spec.mode == "full" and bool(todo)
         if not widen and m.warm and spec.by_delta and spec.feed == "managed":
@@ -142,8 +142,7 @@ class View:
             widen = keys is None
         if widen:
             if m.warm:
-                _, new, _ = self._rebuild(m)
-                return "widen", new | {"applied_seq": head}, None
+                return "widen", self._rebuild(m)[1], None
             # a cold view can't be recomputed as a whole: what it held is forgotten
             return "skipped", {"applied_seq": head, "epoch": m.epoch + 1, "fresh": None, "forced": False, "pending": ()}, None
         n = len(keys)
@@ -252,6 +251,15 @@ class View:
             return self.empty()
         return shown(self.spec, self.store.read(m))
 
+    def resident(self, m: Manifest) -> DataFrame:
+        """A small stored version as a local relation, fetched once per version: reading it
+        starts no job."""
+        held = self._resident
+        if held is None or held[0] != m.buckets:
+            rows = self.stored(m)
+            held = self._resident = (m.buckets, self.spark.createDataFrame(rows.toArrow(), schema=rows.schema) if m.row_count else rows)
+        return held[1]
+
     def empty(self) -> DataFrame:
         """A frame of the view's columns without rows."""
         return self.spark.createDataFrame([], live(self.spec, self.engine.catalog.read).schema)
@@ -262,7 +270,7 @@ class View:
         m = self.manifest
         if m.warm:
             self._read_event("cache")
-            return self.stored(m)
+            return self.resident(m) if m.row_count <= self.engine.config.resident_rows else self.stored(m)
         how = self.spec.cold_read or self.engine.config.default_cold_read
         if how == "raise":
             raise NotMaterialized(f"view {self.spec.name!r} isn't built")
