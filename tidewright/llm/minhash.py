@@ -33,6 +33,8 @@ COORDS = BANDS * ROWS
 BLOCK = 512
 #: Standard deviations of the signature's estimate that a compared pair may lack.
 SLACK = 4.0
+#: Bits of the map that thins out texts before they are shuffled.
+BITS = 1 << 23
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -138,10 +140,23 @@ def features(docs: DataFrame, size: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, low binary")
 
 
+def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents whose id is in ``ids`` (one column).
+
+    A bitmap of hashed ids, at most ``BITS`` bits whatever the data, goes to every task and
+    drops most other texts before the exact semi-join has to shuffle them.
+    """
+    slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
+    words = ids.withColumn("_slot", slot).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_mask"))
+    marked = docs.select("doc_id", "text").withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
+    maybe = marked.join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word")).where("(_mask & shiftleft(1L, cast(_slot & 63 as int))) <> 0")
+    return maybe.select("doc_id", "text").join(ids.toDF("_need"), F.col("doc_id") == F.col("_need"), "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of ids whose full sets share at least ``percent`` % of their union."""
     need = pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct()
-    texts = docs.select("doc_id", "text").join(need, F.col("doc_id") == F.col("_need"), "left_semi")
+    texts = narrowed(docs, need)
     one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
     rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
 
@@ -258,24 +273,22 @@ def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent
     return in_units(rows.select(unit.alias("unit"), "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint")
 
 
-def likely_links(active: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) inside the units of ``active`` whose sets, as 32-bit numbers, reach the
-    threshold or fall short of it by what collisions can hide. Once a pair is sure to be
-    linked, its components count as one within the unit."""
-    wanted = active.select(F.col("id").alias("_need")).distinct()
+def links_within(active: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between components inside the units of ``active``, by whole sets. Linked
+    components count as one within the unit from then on, so a unit gives fewer links than it
+    has components."""
 
     def numbers(batches):
         for batch in batches:
-            sets = [np.unique((shingle_set(x, size) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+            sets = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "numbers"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, F.col("id") == F.col("_need"), "left_semi")
-    sets = texts.mapInArrow(numbers, "id bigint, numbers binary")
+    sets = narrowed(docs, active.select("id").distinct()).mapInArrow(numbers, "id bigint, numbers binary")
     rows = active.join(classes.select("id", "n_shingles", "low"), "id").join(sets, "id")
     least = least_agreement(percent)
 
     def work(key, unit):
-        numbers = [np.frombuffer(x, np.uint32) for x in unit["numbers"]]
+        numbers = [np.frombuffer(x, np.uint64) for x in unit["numbers"]]
         ids, merged = unit["id"], {}
 
         def top(c):
@@ -288,21 +301,15 @@ def likely_links(active: DataFrame, docs: DataFrame, classes: DataFrame, size: i
             j = [k for k in j if top(unit["component"][k]) != top(unit["component"][i])]
             if not j or not len(a):
                 continue
-            ends = np.cumsum([len(numbers[k]) for k in j])
             every = np.concatenate([numbers[k] for k in j])
             at = np.minimum(np.searchsorted(a, every), len(a) - 1)
             upto = np.concatenate([[0], np.cumsum(a[at] == every)])
-            both = np.diff(upto[np.concatenate([[0], ends])])
+            both = np.diff(upto[np.concatenate([[0], np.cumsum([len(numbers[k]) for k in j])])])
             for k, n in zip(j, both, strict=True):
-                union, spare = len(a) + len(numbers[k]) - n, 3 + (len(a) * len(numbers[k]) >> 30)
-                if 100 * (n + spare) < percent * (union - spare):
-                    continue
                 x, y = top(unit["component"][i]), top(unit["component"][k])
-                if x == y:
-                    continue
-                yield min(ids[i], ids[k]), max(ids[i], ids[k])
-                if 100 * (n - spare) >= percent * (union + spare):
+                if x != y and 100 * int(n) >= percent * (len(a) + len(numbers[k]) - int(n)):
                     merged[x] = y
+                    yield min(ids[i], ids[k]), max(ids[i], ids[k])
 
     return in_units(rows.select("unit", "id", "component", "n_shingles", "low", "own", "numbers"), work, "a bigint, b bigint").distinct()
 
@@ -332,12 +339,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = components(links, scratch, "star-labels")
     active = scratch.write(undecided(members, labels, classes, percent), "active")
     if active.limit(1).count():
-        pairs = scratch.write(likely_links(active, docs, classes, size, percent), "pairs")
-        more = scratch.write(verified(pairs, docs, size, percent), "more")
+        more = scratch.write(links_within(active, docs, classes, size, percent), "more")
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links, scratch, "labels")
-        scratch.drop("pairs")
     scratch.drop("active", "members")
     split = by_set.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
     if split or known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").limit(1).count():
