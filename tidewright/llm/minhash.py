@@ -10,8 +10,9 @@ agree in a band share a bucket. A bucket compares all its classes with one pivot
 with the most bucket mates, the same hub in most buckets of a group), so pairs grow with the
 rows and not with their square; links are confirmed on full sets and components found by
 label propagation. What a star can't decide is decided after that: in buckets that still hold
-several components, classes whose signatures don't rule out a link between components meet
-in blocks of bounded size with their sets; only what is linked there leaves the block.
+several components, classes whose signatures don't rule out a link between components are
+undecided. Those that hang together form a cluster, and the classes of a cluster meet in
+blocks of bounded size with their sets; only what is linked there leaves the block.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS, ROWS = 32, 6
 COORDS = BANDS * ROWS
 #: Classes of a bucket that are compared in one block.
 BLOCK = 512
+#: Blocks of the largest cluster that meets as a whole; larger ones meet bucket by bucket.
+WIDE = 16
 #: Standard deviations of the signature's estimate that a compared pair may lack.
 SLACK = 4.0
 #: Bits of the map that thins out texts before they are shuffled.
@@ -253,6 +256,14 @@ def least_agreement(percent: int) -> float:
     return max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5)
 
 
+def dealt(rows: DataFrame, key: str, m: str) -> DataFrame:
+    """``rows`` with the columns unit and own: the ``m`` rows of a key are cut into blocks of
+    about ``BLOCK``, and each block and each pair of blocks is a unit."""
+    parts = F.ceil(F.col(m) / BLOCK).cast("int")
+    cut = rows.withColumn("own", F.pmod(F.xxhash64("id", key), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return cut.withColumn("unit", F.xxhash64(key, F.least("own", "_other"), F.greatest("own", "_other")))
+
+
 def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(unit, id, component, own): classes that share a bucket with a class of another
     component to which neither sizes nor signatures rule out a link. A bucket of more than
@@ -260,17 +271,29 @@ def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent
     owned = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
     rows = owned.join(mixed.select("key", "m"), "key").join(classes.select("id", "n_shingles", "low"), "id")
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), parts).cast("int")
-    rows = rows.select("key", "id", "component", "n_shingles", "low", own.alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    unit = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     least = least_agreement(percent)
 
     def work(key, unit):
         found = sorted({int(k) for i, j in partners(unit, percent, least) for k in (i, *j)})
         return [(key, unit["id"][k], unit["component"][k], unit["own"][k]) for k in found]
 
-    return in_units(rows.select(unit.alias("unit"), "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint")
+    return in_units(dealt(rows, "key", "m").select("unit", "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint")
+
+
+def clustered(active: DataFrame, scratch: Scratch) -> DataFrame:
+    """``active`` dealt anew: classes tied by units form clusters, and a cluster is cut into
+    blocks as a bucket is. A class then stands once in each pair with another block of its
+    cluster, and not once in each band it shares. Clusters of more than ``WIDE`` blocks, where
+    that would be more often, stay in the units of their buckets."""
+    first = active.groupBy("unit").agg(F.min("id").alias("a"))
+    ties = active.join(first, "unit").select("a", F.col("id").alias("b")).where("a <> b")
+    clusters = components(ties, scratch, "clusters").toDF("id", "cluster")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
+    known = scratch.write(clusters.join(sizes, "cluster"), "clusters")
+    columns = ["unit", "id", "component", "own"]
+    whole = active.select("id", "component").distinct().join(known.where(F.col("m") <= WIDE * BLOCK), "id")
+    wide = active.join(known.where(F.col("m") > WIDE * BLOCK).select("id"), "id")
+    return dealt(whole, "cluster", "m").select(*columns).unionByName(wide.select(*columns))
 
 
 def links_within(active: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -339,11 +362,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labels = components(links, scratch, "star-labels")
     active = scratch.write(undecided(members, labels, classes, percent), "active")
     if active.limit(1).count():
-        more = scratch.write(links_within(active, docs, classes, size, percent), "more")
+        units = scratch.write(clustered(active, scratch), "units")
+        more = scratch.write(links_within(units, docs, classes, size, percent), "more")
         if more.limit(1).count():
             links = links.union(more)
             labels = components(links, scratch, "labels")
-    scratch.drop("active", "members")
+    scratch.drop("active", "units", "members")
     split = by_set.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
     if split or known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").limit(1).count():
         labels = components(links.union(same), scratch, "all-labels")  # an id with several sets ties their classes together
