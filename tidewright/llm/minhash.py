@@ -265,9 +265,10 @@ def dealt(rows: DataFrame, key: str, m: str) -> DataFrame:
 
 
 def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(unit, id, component, own): classes that share a bucket with a class of another
+    """(unit, id, component, own, first): classes that share a bucket with a class of another
     component to which neither sizes nor signatures rule out a link. A bucket of more than
-    ``BLOCK`` classes is cut into blocks, and each pair of blocks is a unit."""
+    ``BLOCK`` classes is cut into blocks, and each pair of blocks is a unit; first is the
+    least id that the unit reports."""
     owned = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
     rows = owned.join(mixed.select("key", "m"), "key").join(classes.select("id", "n_shingles", "low"), "id")
@@ -275,9 +276,10 @@ def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent
 
     def work(key, unit):
         found = sorted({int(k) for i, j in partners(unit, percent, least) for k in (i, *j)})
-        return [(key, unit["id"][k], unit["component"][k], unit["own"][k]) for k in found]
+        first = min((unit["id"][k] for k in found), default=None)
+        return [(key, unit["id"][k], unit["component"][k], unit["own"][k], first) for k in found]
 
-    return in_units(dealt(rows, "key", "m").select("unit", "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint")
+    return in_units(dealt(rows, "key", "m").select("unit", "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint, first bigint")
 
 
 def clustered(active: DataFrame, scratch: Scratch) -> DataFrame:
@@ -285,8 +287,7 @@ def clustered(active: DataFrame, scratch: Scratch) -> DataFrame:
     blocks as a bucket is. A class then stands once in each pair with another block of its
     cluster, and not once in each band it shares. Clusters of more than ``WIDE`` blocks, where
     that would be more often, stay in the units of their buckets."""
-    first = active.groupBy("unit").agg(F.min("id").alias("a"))
-    ties = active.join(first, "unit").select("a", F.col("id").alias("b")).where("a <> b")
+    ties = active.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     clusters = components(ties, scratch, "clusters").toDF("id", "cluster")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
     known = scratch.write(clusters.join(sizes, "cluster"), "clusters")
