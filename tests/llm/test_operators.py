@@ -238,6 +238,17 @@ def test_main_text():
     assert extract.main_text("<article><p>x<form>f</form><p>y</article><p>" + "z" * 500) == "x\n\ny"
 
 
+def test_main_text_outside_teasers():
+    """Articles that are only cards don't hide the body outside them."""
+    body = [f"{w} " * 60 for w in ("one", "two", "three")]
+    cards = "".join(f"<article><h3><a href='/{i}'>card {i}</a></h3><p>teaser</p></article>" for i in range(3))
+    for page in (f"<main><div>{''.join(f'<p>{b}</p>' for b in body)}</div></main>{cards}", f"{cards}{''.join(f'<div><p>{b}</p></div>' for b in body)}"):
+        got = extract.main_text(page)
+        assert all(b.strip() in got for b in body)
+    lone = f"<article><p>{body[0]}</p><p>{body[1]}</p></article><div>label</div>"
+    assert extract.main_text(lone) == f"{body[0].strip()}\n\n{body[1].strip()}"
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>é</p></article>"), (2, None, None), (None, "v", ""), (1, "u", "<p>" + "a " * 100_000)]
     got = extract.extract(pages(spark, rows).selectExpr("*", "1 as text", "2 as n_chars")).collect()

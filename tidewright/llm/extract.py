@@ -4,7 +4,9 @@ Markup is stripped to lines: a block element begins a new line. Lines inside ele
 hold no article text (menus, notices, forms ...) are emptied and stay as empty lines, and the
 edges of sectioning elements leave a gap of empty lines. Sums of text lengths over windows of
 lines then surge where the article begins and dive where it ends; of the stretches between,
-the heaviest one is the main text. Where the page marks its article, only marked lines count.
+the heaviest one is the main text. This search runs on every page. A marked article is joined
+to one stretch and counts ``MARK`` times against text outside marks: such text stays out only
+if it is a single line, or if all of it weighs less than that share of the heaviest mark.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from pyspark.sql import DataFrame
 
 #: Lines of a window. A stretch ends where a whole window is empty.
 WINDOW = 3
+#: How much more a character of a marked article counts than one outside marks.
+MARK = 4
+#: Characters of a stretch that is surely more than a label.
+PARAGRAPH = 80
 
 # Elements by role, and class or id words of parts that aren't the article.
 SILENT = frozenset("script style noscript template svg math iframe object canvas audio video head title".split())
@@ -55,12 +61,13 @@ def set_aside(name: str, attrs: str) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(text, in a marked article) of every line of the stripped page, in order."""
-    out: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, set aside, marked
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """(text, number of the outermost marked article or 0) of every line of the stripped page,
+    in order."""
+    out: list[tuple[str, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, set aside, marked
     held: list[str] = []
-    aside = marked = False
+    aside, marked, marks = False, 0, 0
 
     def end_line(gap: int = 0):
         if held:
@@ -77,7 +84,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         while stack:
             top, _, _ = stack.pop()
             end_line(WINDOW if top in SECTIONS else 0) if top in BLOCKS else None
-            aside, marked = any(s[1] for s in stack), any(s[2] for s in stack)
+            aside, marked = any(s[1] for s in stack), stack[-1][2] if stack else 0
             if top == name:
                 break
 
@@ -113,8 +120,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             end_line(WINDOW if name in SECTIONS else 0)
         if name in VOID or m[0].endswith("/>"):
             continue
-        stack.append((name, set_aside(name, m[3]), name in ARTICLE or "articlebody" in m[3].lower()))
-        aside, marked = any(s[1] for s in stack), any(s[2] for s in stack)
+        if not marked and (name in ARTICLE or "articlebody" in m[3].lower()):
+            marked = marks = marks + 1
+        stack.append((name, set_aside(name, m[3]), marked))
+        aside = any(s[1] for s in stack)
     end_line()
     return out
 
@@ -139,14 +148,22 @@ def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int,
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by two line ends; empty if there is none."""
     lines = lines_of(page or "")
-    if any(m and t for t, m in lines):
-        # a marked article is one stretch, whatever gaps its own sections leave
-        return "\n\n".join(t for t, m in lines if m and t)
-    found = stretches([len(t) for t, _ in lines])
-    if not found:
-        return ""
-    first, end, _ = max(found, key=lambda x: (x[2], -x[0]))
-    return "\n\n".join(t for t, _ in lines[first:end] if t)
+    weights: dict[int, int] = {}
+    for t, m in lines:
+        weights[m] = weights.get(m, 0) + len(t)
+    heaviest = max((w for m, w in weights.items() if m), default=0)
+    found = stretches([0 if m else len(t) for t, m in lines])
+    if not heaviest:
+        if not found:
+            return ""
+        first, end, _ = max(found, key=lambda x: (x[2], -x[0]))
+        return "\n\n".join(t for t, _ in lines[first:end] if t)
+    # a marked article is one stretch, whatever gaps its own sections leave
+    kept = {i for i, (t, m) in enumerate(lines) if m and t}
+    outside = {i for first, end, w in found if w >= PARAGRAPH for i in range(first, end) if lines[i][0] and not lines[i][1]}
+    if len(outside) > 1 and MARK * sum(len(lines[i][0]) for i in outside) >= heaviest:
+        kept |= outside
+    return "\n\n".join(lines[i][0] for i in sorted(kept))
 
 
 def extract(pages: DataFrame) -> DataFrame:
