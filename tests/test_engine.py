@@ -161,6 +161,20 @@ def test_keyed_reads_populate_cold_views(spark, setup):
     assert v.refresh().skipped and rows(v.where(category="books")) == [("books", 99, 5, 3)] and seen[-1] == "source"
 
 
+def test_cold_views_keep_held_keys_beyond_the_cap(spark, tmp_path):
+    e = make(spark, tmp_path, max_tracked_keys=4)
+    t = e.table("items", spark.range(60).selectExpr("id", "cast(id as string) as category", "cast(id as int) as amount"), ("id",))
+    v = e.view(tops())
+    held = [str(i) for i in range(0, 60, 20)]
+    for k in held:
+        v.where(category=k)
+    assert v.refresh().path == "scoped" and not v.is_warm()
+    t.update("true", {"amount": "amount + 1000"})
+    assert v.refresh().path == "scoped"  # 60 changed keys, of which 3 are held
+    assert rows(v.stored()) == sorted((k, int(k) + 1000, int(k) + 1000, 1) for k in held)
+    assert rows(v.where(category="40")) == [("40", 1040, 1040, 1)]
+
+
 def test_keyed_predicates(setup):
     v = setup[0].view(ViewSpec("two", Relation("items"), ("category", "id"), (count_all("n"),), strategy="manual"))
     assert v.keyed({"category": ["a", "b"], "id": 1}) == [("a", 1), ("b", 1)]

@@ -194,10 +194,10 @@ class View:
             grouped = every.groupBy(*spec.scope).agg(F.max("source_ts").alias("source_ts"))
             if spec.feed == "external":
                 grouped, marks = self._suppressed(m, grouped)
+            if not m.warm:  # a cold view only keeps what it holds
+                held = self.spark.read.parquet(m.fresh) if m.fresh else self._key_frame([])
+                grouped = grouped.join(held, same_keys(grouped, held, spec.scope), "left_semi")
             tuples = [tuple(r)[: len(spec.scope)] for r in grouped.limit(cap + 1).collect()]  # at most cap + 1
-        if not m.warm:
-            held = self._fresh(m)
-            tuples = [k for k in tuples if k in held]  # a cold view only keeps what it holds
         tuples = list(dict.fromkeys([*tuples, *asked]))
         return (None, None) if len(tuples) > cap else (tuples, marks)
 
