@@ -249,6 +249,14 @@ def test_main_text_outside_teasers():
     assert extract.main_text(lone) == f"{body[0].strip()}\n\n{body[1].strip()}"
 
 
+def test_main_text_of_several_sections():
+    a, b, c = (f"{w} " * 40 for w in ("one", "two", "three"))
+    whole = "\n\n".join(x.strip() for x in (a, b, c))
+    assert extract.main_text(f"<main><section>{a}</section><section>{b}</section><section>{c}</section></main>") == whole
+    assert extract.main_text(f"<body><div>label</div><div><p>{a}</p></div><aside>advert {b}</aside><div class='ad'>{b}</div><div><p>{b}</p></div><div>{c}</div><div>end</div></body>") == whole
+    assert extract.main_text(f"<div>{a}</div><div>short</div><div>{b}</div>") == f"{a.strip()}\n\nshort\n\n{b.strip()}"
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>é</p></article>"), (2, None, None), (None, "v", ""), (1, "u", "<p>" + "a " * 100_000)]
     got = extract.extract(pages(spark, rows).selectExpr("*", "1 as text", "2 as n_chars")).collect()

@@ -3,8 +3,8 @@
 Markup is stripped to lines: a block element begins a new line. Lines inside elements that
 hold no article text (menus, notices, forms ...) are emptied and stay as empty lines, and the
 edges of sectioning elements leave a gap of empty lines. Sums of text lengths over windows of
-lines then surge where the article begins and dive where it ends; of the stretches between,
-the heaviest one is the main text. This search runs on every page. A marked article is joined
+lines then surge where the article begins and dive where it ends. The main text reaches from
+the first stretch that is more than a label to the last one. This search runs on every page. A marked article is joined
 to one stretch and counts ``MARK`` times against text outside marks: such text stays out only
 if it is a single line, or if all of it weighs less than that share of the heaviest mark.
 """
@@ -156,8 +156,10 @@ def main_text(page: str | None) -> str:
     if not heaviest:
         if not found:
             return ""
-        first, end, _ = max(found, key=lambda x: (x[2], -x[0]))
-        return "\n\n".join(t for t, _ in lines[first:end] if t)
+        # an article may lie in several sections: everything from its first stretch to its last
+        least = min(PARAGRAPH, max(w for _, _, w in found) / 4)
+        article = [x for x in found if x[2] >= least]
+        return "\n\n".join(t for t, _ in lines[article[0][0] : article[-1][1]] if t)
     # a marked article is one stretch, whatever gaps its own sections leave
     kept = {i for i, (t, m) in enumerate(lines) if m and t}
     outside = {i for first, end, w in found if w >= PARAGRAPH for i in range(first, end) if lines[i][0] and not lines[i][1]}
