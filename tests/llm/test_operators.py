@@ -374,6 +374,22 @@ def test_neighbours_fill_windows():
     assert packing.windows(1024 + 700, 1024) == [1024, 512, 128, 32, 16, 8, 4] and packing.windows(0, 1024) == []
 
 
+def test_neighbours_are_ranked_by_all_terms():
+    rng = np.random.default_rng(5)
+    held = [np.minimum(rng.zipf(1.3, rng.integers(40, 300)), 3000).astype("<u2") for _ in range(200)]
+    n = sum(np.bincount(np.unique(d), minlength=1 << 16) for d in held)
+    idf, mean = np.log1p((len(held) - n + 0.5) / (n + 0.5)).astype(np.float32), float(np.mean([len(d) for d in held]))
+    index = packing.Shard(held, idf, mean)
+    for seed in range(0, 200, 17):
+        score = np.zeros(len(held))
+        for i, d in enumerate(held):
+            tf = np.bincount(d, minlength=1 << 16)[np.unique(held[seed])]
+            score[i] = (idf[np.unique(held[seed])] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))).sum()
+        got = [int(i) for i in index.near(seed)]
+        assert sorted(got) == np.flatnonzero(score > 0).tolist()
+        assert np.allclose(score[got], np.sort(score[score > 0])[::-1], rtol=1e-4)
+
+
 # ---- near-duplicates
 
 

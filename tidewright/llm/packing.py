@@ -26,8 +26,10 @@ WINDOW = 1024
 END_ID = 0
 #: Tokens of one shard; bounds a task's memory whatever the size of its partition.
 SHARD_TOKENS = 4_000_000
-#: Terms of a seed that are looked up, by weight.
-QUERY_TERMS = 12
+#: Terms held by more than one document in so many of a shard are scored by dense products.
+DENSE = 8
+#: Numbers that the dense scores of one batch of seeds may take.
+BATCH = 1 << 22
 K1, B = 1.2, 0.75
 
 
@@ -109,35 +111,65 @@ class Shard:
         order = np.argsort(term, kind="stable")
         self.rows, self.weights = row[order], weight[order]
         self.at = np.searchsorted(term[order], np.arange((1 << 16) + 1))
+        held = np.diff(self.at)
+        common = np.flatnonzero(held > max(len(docs) // DENSE, 8))
+        # a column of more than len(docs) / DENSE entries each: at most DENSE numbers an entry
+        self.column = np.full(1 << 16, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(docs), len(common)), np.float32)
+        for k, t in enumerate(common):
+            a, z = self.at[t], self.at[t + 1]
+            self.dense[self.rows[a:z], k] = self.weights[a:z]
         self.free = np.ones(len(docs), bool)
-        self.score = np.zeros(len(docs), np.float32)
-
-    def near(self, seed: int) -> np.ndarray:
-        """Unused documents that share a heavy term with the seed, best first."""
-        mine = self.own[seed]
-        if len(mine) > QUERY_TERMS:
-            mine = mine[np.argpartition(-self.weight[mine], QUERY_TERMS)[:QUERY_TERMS]]
-        score = self.score
-        score[:] = 0
-        for t in self.term[mine]:
-            a, z = self.at[t], self.at[int(t) + 1]
-            score[self.rows[a:z]] += self.weights[a:z]
+        self.ahead: dict[int, np.ndarray] = {}
+
+    def prepare(self, seeds: np.ndarray) -> None:
+        """Scores of the next seeds over the common terms, in one product."""
+        asked = np.zeros((len(seeds), self.dense.shape[1]), np.float32)
+        for k, s in enumerate(seeds):
+            c = self.column[self.term[self.own[s]]]
+            asked[k, c[c >= 0]] = 1
+        self.ahead = dict(zip(seeds.tolist(), asked @ self.dense.T, strict=True))
+
+    def near(self, seed: int):
+        """Unused documents that share a term with the seed, best first, by BM25 over all its
+        terms."""
+        if seed not in self.ahead:
+            self.prepare(np.array([seed]))
+        score = self.ahead.pop(seed)
+        rare = self.term[self.own[seed]]
+        rare = rare[self.column[rare] < 0].astype(np.int64)
+        first, n = self.at[rare], self.at[rare + 1] - self.at[rare]
+        if total := int(n.sum()):
+            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(total)
+            score = score + np.bincount(self.rows[at], self.weights[at], len(score))
         found = np.flatnonzero((score > 0) & self.free)
-        return found[np.argsort(-score[found], kind="stable")]
+        score, k = score[found], 32
+        if len(found) > k:  # few fill a window: the others are only sorted if they are asked for
+            split = np.argpartition(-score, k)
+            best, rest = split[:k], split[k:]
+            yield from found[best[np.lexsort((best, -score[best]))]]
+            found, score = found[rest], score[rest]
+        yield from found[np.lexsort((found, -score))]
 
 
 def order_of(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[int]:
     """The order in which a shard's documents fill its windows."""
     index, out, used = Shard(docs, idf, mean), [], 0
-    for seed in np.argsort([-len(d) for d in docs], kind="stable"):
+    seeds = np.argsort([-len(d) for d in docs], kind="stable")
+    batch = max(1, min(32, BATCH // len(docs)))
+    for k, seed in enumerate(seeds.tolist()):
         if not index.free[seed]:
             continue
         index.free[seed] = False
-        out.append(int(seed))
+        out.append(seed)
         used += len(docs[seed])
         if not (room := -used % window):
             continue
-        for i in index.near(int(seed)):
+        if seed not in index.ahead:
+            later = seeds[k : k + 8 * batch]
+            index.prepare(np.append(seed, later[index.free[later]][: batch - 1]))
+        for i in index.near(seed):
             index.free[i] = False
             out.append(int(i))
             used += len(docs[i])
