@@ -374,6 +374,19 @@ def test_neighbours_fill_windows():
     assert packing.windows(1024 + 700, 1024) == [1024, 512, 128, 32, 16, 8, 4] and packing.windows(0, 1024) == []
 
 
+def test_near_documents_meet_in_one_shard(spark, monkeypatch):
+    """Twins lie in the first and the last partition of the table, and shards hold a part of it."""
+    rng = np.random.default_rng(9)
+    words = [[f"w{t}x{i}" for i in range(40)] for t in range(40)]
+    texts = [" ".join(rng.choice(words[t], 60)) for t in range(40)]
+    frame = docs(spark, texts + texts).repartitionByRange(4, "doc_id")
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 6_000)
+    rows = packing.pack(frame, tokenizer_path(), window=256).collect()
+    shard = {r.doc_id: r.sequence_id >> 33 for r in rows}
+    assert len(shard) == 80 and len(set(shard.values())) > 2
+    assert sum(shard[i] == shard[i + 40] for i in range(40)) >= 34
+
+
 def test_neighbours_are_ranked_by_all_terms():
     rng = np.random.default_rng(5)
     held = [np.minimum(rng.zipf(1.3, rng.integers(40, 300)), 3000).astype("<u2") for _ in range(200)]

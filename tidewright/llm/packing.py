@@ -1,8 +1,10 @@
 """Packing documents into fixed windows, filled with lexically near documents.
 
 Tokens are made once, written, and term counts over all documents become BM25 weights (one
-number per token id, so their size is that of the vocabulary). Each shard (a stretch of the
-written tokens, of bounded token count) builds a BM25 inverted index over its documents. A
+number per token id, so their size is that of the vocabulary). Documents are put in the order
+of a content key (a Hilbert position over the main directions of a sample's weights), so that
+near ones meet wherever they lay in the table. Each shard (a stretch of that order, of bounded
+token count) builds a BM25 inverted index over its documents. A
 seed document opens a window; the index returns its nearest unused documents, which fill the
 window greedily, the last one being cut where the window ends and going on in the next one.
 What is left of a shard at its end is cut into powers of two, so no token is padding.
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
+from .neighbours import hilbert
 
 WINDOW = 1024
 END_ID = 0
@@ -31,6 +34,8 @@ DENSE = 8
 #: Numbers that the dense scores of one batch of seeds may take.
 BATCH = 1 << 22
 K1, B = 1.2, 0.75
+#: Documents of the sample that gives the content key, its directions, and bits of each.
+SAMPLE, DIRECTIONS, BITS = 768, 8, 4
 
 
 def byte_of_char() -> dict[str, int]:
@@ -77,6 +82,62 @@ def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids binary")
 
 
+def terms_of(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The token ids of a document, each once and in order, and how often each occurs."""
+    if len(d) < 4096:
+        return np.unique(d, return_counts=True)
+    n = np.bincount(d)
+    t = np.flatnonzero(n)
+    return t, n[t]
+
+
+def weights_of(tf: np.ndarray, idf: np.ndarray, length, mean: float) -> np.ndarray:
+    """BM25 weights of terms with these counts in documents of this length."""
+    return (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))).astype(np.float32)
+
+
+class ContentKey:
+    """Documents as positions on a Hilbert curve, near ones mostly close to each other."""
+
+    def __init__(self, sample: list[np.ndarray], idf: np.ndarray, mean: float):
+        self.idf, self.mean = idf, mean
+        held = [self.unit(d) for d in sample]
+        columns, at = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        x = np.zeros((len(held), len(columns)), np.float32)
+        x[np.repeat(np.arange(len(held)), [len(t) for t, _ in held]), at] = np.concatenate([w for _, w in held])
+        x -= x.mean(axis=0)
+        u, size, _ = np.linalg.svd(x @ x.T)
+        k = min(DIRECTIONS, len(held))
+        self.directions = np.zeros((1 << 16, DIRECTIONS), np.float32)
+        self.directions[columns, :k] = x.T @ (u[:, :k] / np.sqrt(np.maximum(size[:k], 1e-9)))
+        self.edges = np.quantile([w @ self.directions[t] for t, w in held], np.arange(1, 1 << BITS) / (1 << BITS), axis=0).T
+
+    def unit(self, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t, tf = terms_of(d)
+        w = weights_of(tf, self.idf[t], len(d), self.mean)
+        return t, w / max(float(np.sqrt(w @ w)), 1e-9)
+
+    def of(self, docs: list[np.ndarray]) -> np.ndarray:
+        at = np.array([w @ self.directions[t] for t, w in map(self.unit, docs)])
+        return hilbert(np.stack([np.searchsorted(e, at[:, k]) for k, e in enumerate(self.edges)], axis=1), BITS)
+
+
+def keyed(tokens: DataFrame, content) -> DataFrame:
+    """(key, tie, doc_id, ids): ties are told apart by row, so that one content key may lie in
+    many shards."""
+
+    def run(batches):
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                key = content.value.of([np.frombuffer(x, "<u2") for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(np.arange(row, row + len(key)), pa.int64()), *part.columns], ["key", "tie", "doc_id", "ids"])
+                row += len(key)
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, "key bigint, tie bigint, doc_id bigint, ids binary")
+
+
 def term_counts(tokens: DataFrame) -> DataFrame:
     """(token, n): documents that hold the token, over all documents. A task sends one row per
     token at most."""
@@ -85,7 +146,7 @@ def term_counts(tokens: DataFrame) -> DataFrame:
         n = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                n[np.flatnonzero(np.bincount(np.frombuffer(x.as_buffer(), "<u2")))] += 1
+                n[terms_of(np.frombuffer(x.as_buffer(), "<u2"))[0]] += 1
         held = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(n[held], pa.int64())], ["token", "n"])
 
@@ -98,14 +159,13 @@ class Shard:
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         rows, terms, tf = [], [], []
         for i, d in enumerate(docs):
-            n = np.bincount(d)
-            t = np.flatnonzero(n)
+            t, n = terms_of(d)
             rows.append(np.full(len(t), i, np.int32))
             terms.append(t.astype(np.uint16))
-            tf.append(n[t])
+            tf.append(n)
         row, term, tf = (np.concatenate(x) for x in (rows, terms, tf))
         length = np.array([len(d) for d in docs], np.float64)
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / mean))).astype(np.float32)
+        weight = weights_of(tf, idf[term], length[row], mean)
         self.own = np.split(np.arange(len(row)), np.cumsum([len(r) for r in rows])[:-1])
         self.term, self.weight = term, weight
         order = np.argsort(term, kind="stable")
@@ -215,7 +275,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     n = np.zeros(1 << 16)
     for r in term_counts(tokens).collect():  # at most 2**16 rows: the vocabulary
         n[r["token"]] = r["n"]
-    idf = spark.sparkContext.broadcast(np.log1p((count - n + 0.5) / (n + 0.5)).astype(np.float32))
+    weights = np.log1p((count - n + 0.5) / (n + 0.5)).astype(np.float32)
+    idf = spark.sparkContext.broadcast(weights)
     mean = float(total or 1) / max(count, 1)
 
     def run(batches):
@@ -238,4 +299,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
                     ids, held, size = [], [], 0
         yield from flush()
 
-    return tokens.mapInArrow(run, PIECE)
+    if not count:
+        return tokens.mapInArrow(run, PIECE)
+    sample = tokens.select("ids").where(F.rand(7) < SAMPLE / count).limit(2 * SAMPLE).collect() or tokens.select("ids").limit(1).collect()
+    content = spark.sparkContext.broadcast(ContentKey([np.frombuffer(r["ids"], "<u2") for r in sample], weights, mean))
+    shards = -(-int(total) // SHARD_TOKENS)
+    return keyed(tokens, content).repartitionByRange(shards, "key", "tie").sortWithinPartitions("key", "tie").select("doc_id", "ids").mapInArrow(run, PIECE)
