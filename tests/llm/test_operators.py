@@ -213,6 +213,22 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.search(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_neighbours_of_repeated_vectors(spark, monkeypatch):
+    # an id that is repeated in a block takes one of the k places
+    rows, rid = np.array([[1, 0.01], *[[1, 0.0]] * 6, [1, 0.2], [1, 0.3]]), np.array([0, *[1] * 6, 2, 3])
+    assert [int(rid[j]) for _, j, _ in neighbours.best_of(rows[:1], rid[:1], rows, rid, 3)] == [1, 2, 3]
+    # a vector that is half of the rows leaves empty block numbers, which reach must skip
+    rng = np.random.default_rng(4)
+    hot = rng.normal(size=8)
+    x = np.concatenate([np.tile(hot, (300, 1)), rng.normal(size=(300, 8))])
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", 1)
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    key = neighbours.keys_of(x / np.linalg.norm(x, axis=1)[:, None], 1)[:, 0]
+    next_one = min((int(c), i) for i, c in enumerate(key) if c > key[0])[1]
+    near = neighbours.search(frame, F.col("vec_id") == next_one, k=600, orderings=1, blocks=40, reach=1)
+    assert near.where("vec_id < 300").count() == 300
+
+
 def test_hilbert_curve_visits_every_cell_once_by_single_steps():
     for d, bits in ((2, 4), (3, 3)):
         side = 1 << bits

@@ -97,7 +97,8 @@ def cosines(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def best_of(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, rid: np.ndarray, k: int):
-    """(query position, row position, score): the k best rows of each query, ties to smaller ids."""
+    """(query position, row position, score): the best row of each of the k best ids of each query,
+    ties to smaller ids."""
     unit = rows / np.abs(rows).max(axis=1)[:, None]
     unit /= np.linalg.norm(unit, axis=1)[:, None]
     for a in range(0, len(queries), 256):
@@ -108,11 +109,17 @@ def best_of(queries: np.ndarray, qid: np.ndarray, rows: np.ndarray, rid: np.ndar
             m = min(k, int((s > -np.inf).sum()))
             if not m:
                 continue
-            least = np.partition(s, len(s) - m)[len(s) - m]
-            j = np.flatnonzero(s >= least - 1e-9)
-            j = j[s[j] > -np.inf]
+            while True:
+                least = np.partition(s, len(s) - m)[len(s) - m]
+                j = np.flatnonzero(s >= least - 1e-9)
+                j = j[s[j] > -np.inf]
+                # rows with one id are one result: look further down until k ids are met
+                if m >= int((s > -np.inf).sum()) or len(np.unique(rid[j])) >= k:
+                    break
+                m = min(2 * m, int((s > -np.inf).sum()))
             exact = cosines(np.broadcast_to(queries[a + i], (len(j), queries.shape[1])), rows[j])
-            for o in np.lexsort((rid[j], -exact))[:k]:
+            order = np.lexsort((rid[j], -exact))
+            for o in order[np.sort(np.unique(rid[j][order], return_index=True)[1])[:k]]:
                 yield a + i, j[o], exact[o]
 
 
@@ -131,7 +138,11 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, vec: str = "embed
     lower = F.size(F.filter("bounds", lambda b: b < F.col("key")))
     number = F.least(F.lit(blocks), F.greatest(F.lit(1), F.floor(F.col("n") / LEAST_ROWS)))
     block = F.floor(lower * number / blocks).cast("int")
-    placed = flat.join(F.broadcast(bounds), ["dim", "ordering"]).select("vec_id", "v", "dim", "ordering", block.alias("block"))
+    drawn = flat.join(F.broadcast(bounds), ["dim", "ordering"]).select("vec_id", "v", "dim", "ordering", block.alias("drawn"))
+    # only blocks that hold rows count in reach: a hot key leaves empty numbers after it
+    dense = F.dense_rank().over(Window.partitionBy("dim", "ordering").orderBy("drawn")) - 1
+    numbers = drawn.select("dim", "ordering", "drawn").distinct().withColumn("block", dense)
+    placed = drawn.join(F.broadcast(numbers), ["dim", "ordering", "drawn"]).drop("drawn")
     sizes = placed.groupBy("dim", "ordering", "block").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("parts"))
     place = ["dim", "ordering", "block"]
     rows = placed.join(F.broadcast(sizes), place).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
