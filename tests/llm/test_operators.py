@@ -461,10 +461,10 @@ def near_texts(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("size", "wide"), [(2, 16), (2, 0), (5, 16)])
-def test_near_duplicates_match_brute_force(spark, size, wide, monkeypatch):
+@pytest.mark.parametrize(("size", "worth"), [(2, 4), (2, 0), (5, 10**9)])
+def test_near_duplicates_match_brute_force(spark, size, worth, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
-    monkeypatch.setattr(minhash, "WIDE", wide)
+    monkeypatch.setattr(minhash, "WORTH", worth)
     texts = near_texts(160, size) + AWKWARD
     ids = [7 * i % 1009 for i in range(len(texts))]
     frame = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").selectExpr("*", "1 as id", "'x' as key", "2 as n")

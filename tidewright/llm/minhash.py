@@ -9,10 +9,14 @@ Documents with equal shingle sets form a class first, in a pre-aggregated pass.
 agree in a band share a bucket. A bucket compares all its classes with one pivot (the class
 with the most bucket mates, the same hub in most buckets of a group), so pairs grow with the
 rows and not with their square; links are confirmed on full sets and components found by
-label propagation. What a star can't decide is decided after that: in buckets that still hold
-several components, classes whose signatures don't rule out a link between components are
-undecided. Those that hang together form a cluster, and the classes of a cluster meet in
-blocks of bounded size with their sets; only what is linked there leaves the block.
+label propagation.
+
+What a star can't decide is decided after that. A pair of a bucket is undecided if it stands in
+two components and neither its sizes nor its signatures rule out a link. One of the two then
+lies outside the bucket's largest component: it is loose. Units of bounded size hold some loose
+classes and some of the whole bucket, and a pair is looked at in its first shared band alone.
+While that joins many, every loose class is compared with its nearest undecided partner; then
+all undecided pairs are compared inside the units, by whole sets.
 """
 
 from __future__ import annotations
@@ -30,12 +34,13 @@ from .common import Scratch
 SLOTS = 1 << 21
 BANDS, ROWS = 32, 6
 COORDS = BANDS * ROWS
-#: Classes of a bucket that are compared in one block.
-BLOCK = 512
-#: Blocks of the largest cluster that meets as a whole; larger ones meet bucket by bucket.
-WIDE = 16
-#: Standard deviations of the signature's estimate that a compared pair may lack.
-SLACK = 4.0
+#: Classes, and shingles, of a bucket that are compared in one block.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+#: Rounds of nearest partners go on while at least one of so many finds a link.
+WORTH = 4
+#: Standard deviations of the signature's estimate that a compared pair may lack: a linked pair
+#: that shares a band is taken for an unlinked one with a chance of less than 2e-8.
+SLACK = 6.0
 #: Bits of the map that thins out texts before they are shuffled.
 BITS = 1 << 23
 
@@ -122,62 +127,78 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands, low): low holds the coordinates' lowest bytes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("low", pa.binary())])
+    """(doc_id, n_shingles, set_key, bands, marks, low): bands holds the key of each band, marks
+    32 bits of each key, low the coordinates' lowest bytes."""
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 sets = [shingle_set(x, size) for x in part.column(1).to_pylist()]
-                signs = [signature(s) if len(s) else None for s in sets]
-                rows = zip(part.column(0).to_pylist(), sets, signs, strict=True)
-                yield pa.RecordBatch.from_pylist(
+                signs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, COORDS), np.uint32)
+                keys, some = band_keys(signs), [len(s) > 0 for s in sets]
+                marks, low = (keys >> 31).astype("<u4"), signs.astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
                     [
-                        {"doc_id": d, "n_shingles": len(s), "set_key": xxhash.xxh3_128(s.tobytes()).digest() if len(s) else None, "bands": band_keys(g)[0].tolist() if len(s) else None, "low": g.astype(np.uint8).tobytes() if len(s) else None}
-                        for d, s, g in rows
+                        part.column(0),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxhash.xxh3_128(s.tobytes()).digest() if y else None for s, y in zip(sets, some, strict=True)], pa.binary()),
+                        pa.array([r if y else None for r, y in zip(keys, some, strict=True)], pa.list_(pa.int64())),
+                        *(pa.array([r.tobytes() if y else None for r, y in zip(x, some, strict=True)], pa.binary()) for x in (marks, low)),
                     ],
-                    schema,
+                    ["doc_id", "n_shingles", "set_key", "bands", "marks", "low"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, low binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, marks binary, low binary")
 
 
 def narrowed(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents whose id is in ``ids`` (one column).
+    """(id, text) of the documents whose id is in ``ids`` (one column), and a few others.
 
     A bitmap of hashed ids, at most ``BITS`` bits whatever the data, goes to every task and
-    drops most other texts before the exact semi-join has to shuffle them.
+    drops most other texts before an exact join has to shuffle them.
     """
     slot = F.pmod(F.xxhash64(ids.columns[0]), F.lit(BITS))
     words = ids.withColumn("_slot", slot).groupBy(F.shiftright("_slot", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_mask"))
     marked = docs.select("doc_id", "text").withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(BITS)))
     maybe = marked.join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word")).where("(_mask & shiftleft(1L, cast(_slot & 63 as int))) <> 0")
-    return maybe.select("doc_id", "text").join(ids.toDF("_need"), F.col("doc_id") == F.col("_need"), "left_semi")
+    return maybe.select(F.col("doc_id").alias("id"), "text")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = int(np.isin(a, b, assume_unique=True).sum())
+    return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose full sets share at least ``percent`` % of their union."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct()
-    texts = narrowed(docs, need)
-    one, two = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
-    rows = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    """The pairs (a, b) of ids whose full sets share at least ``percent`` % of their union.
+
+    The texts of ``a`` meet that of ``b`` in units of about ``BLOCK`` pairs, so a ``b`` with
+    many pairs is spread over tasks, and only its own text is repeated, once a unit.
+    """
+    hubs = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    many = hubs.where("parts > 1")
+    spread = pairs.join(many, "b", "left").select("b", F.lit(1).alias("side"), F.col("a").alias("id"), F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    centre = hubs.select("b", F.lit(0).alias("side"), F.col("b").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = spread.unionByName(centre).select(F.xxhash64("b", "part").alias("unit"), F.col("b").alias("hub"), "side", "id")
+    texts = narrowed(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    met = rows.join(texts, "id").select("unit", "hub", "side", "id", "text").repartition("unit").sortWithinPartitions("unit", "hub", "side", "id")
 
     def run(batches):
-        last, held = None, None
+        now, held = None, []
         for batch in batches:
-            a, b, good = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for i in range(batch.num_rows):
-                right = batch.column(3)[i].as_py()
-                if last != right:
-                    last, held = right, shingle_set(right, size)
-                left = shingle_set(batch.column(2)[i].as_py(), size)
-                both = np.isin(left, held, assume_unique=True).sum()
-                if both and 100 * int(both) >= percent * (len(left) + len(held) - int(both)):
-                    good.append(i)
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a[i] for i in good], pa.int64()), "b": pa.array([b[i] for i in good], pa.int64())})
+            good = []
+            for unit, hub, side, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (unit, hub) != now:
+                    now, held = (unit, hub), []
+                words = shingle_set(text, size)
+                if not side:
+                    held.append(words)  # one text, unless documents repeat the id
+                elif any(similar(words, h, percent) for h in held):
+                    good.append((i, hub))
+            yield rows_batch(good, "a bigint, b bigint")
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -228,73 +249,69 @@ def in_units(rows: DataFrame, work, schema: str) -> DataFrame:
             yield rows_batch(out, schema)
         yield rows_batch(list(work(unit, dict(zip(names, zip(*held, strict=True), strict=True)))) if len(held) > 1 else [], schema)
 
-    return rows.repartition("unit").sortWithinPartitions("unit", "own", "id").mapInArrow(run, schema)
+    return rows.repartition("unit").sortWithinPartitions("unit", "side", "id").mapInArrow(run, schema)
 
 
 def rows_batch(rows: list, schema: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in columns], names)
+    return pa.RecordBatch.from_arrays([pa.array([None if x is None else int(x) for x in c], pa.int64()) for c in columns], names)
 
 
-def partners(unit: dict, percent: int, least: float):
-    """(i, js): rows of the unit that may be linked with row i and stand in another component;
-    of a unit of two blocks, rows of the other block only."""
-    ids, comps, sizes, own = (np.array(unit[c]) for c in ("id", "component", "n_shingles", "own"))
+def partners(unit: dict, percent: int):
+    """(i, js, agreements): the undecided pairs of the unit's loose row i that have their first
+    shared band here. Rows: side 0 loose ones, 1 loose ones met by others, 2 all others."""
+    ids, comps, sizes, side, band = (np.array(unit[c]) for c in ("id", "component", "n_shingles", "side", "band"))
     low = np.frombuffer(b"".join(unit["low"]), np.uint8).reshape(len(ids), -1)
-    one = own.min() == own.max()
-    for i in range(len(ids) - 1):
-        j = np.arange(i + 1, len(ids))
-        j = j[(comps[j] != comps[i]) & (ids[j] != ids[i]) & (one | (own[j] != own[i]))]
+    marks = np.frombuffer(b"".join(unit["marks"]), "<u4").reshape(len(ids), -1)
+    least = percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5
+    others = np.flatnonzero(side > 0)
+    for i in np.flatnonzero(side == 0):
+        j = others[(comps[others] != comps[i]) & ((side[others] == 2) | (ids[others] > ids[i])) & (band[others] == band[i])]
         j = j[100 * np.minimum(sizes[j], sizes[i]) >= percent * np.maximum(sizes[j], sizes[i])]
-        j = j[(low[j] == low[i]).mean(axis=1) >= least] if len(j) else j
+        j = j[(marks[j] == marks[i]).argmax(axis=1) == band[i]] if len(j) else j
         if len(j):
-            yield i, j
-
-
-def least_agreement(percent: int) -> float:
-    return max(0.0, percent / 100 - SLACK * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5)
+            same = (low[j] == low[i]).mean(axis=1)
+            j, same = j[same >= least], same[same >= least]
+        if len(j):
+            yield i, j, same
 
 
-def dealt(rows: DataFrame, key: str, m: str) -> DataFrame:
-    """``rows`` with the columns unit and own: the ``m`` rows of a key are cut into blocks of
-    about ``BLOCK``, and each block and each pair of blocks is a unit."""
-    parts = F.ceil(F.col(m) / BLOCK).cast("int")
-    cut = rows.withColumn("own", F.pmod(F.xxhash64("id", key), parts).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return cut.withColumn("unit", F.xxhash64(key, F.least("own", "_other"), F.greatest("own", "_other")))
+def in_blocks(count: str, shingles: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(count) / BLOCK, F.col(shingles) / BLOCK_SHINGLES)).cast("int")
 
 
 def undecided(members: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(unit, id, component, own, first): classes that share a bucket with a class of another
-    component to which neither sizes nor signatures rule out a link. A bucket of more than
-    ``BLOCK`` classes is cut into blocks, and each pair of blocks is a unit; first is the
-    least id that the unit reports."""
-    owned = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = owned.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-    rows = owned.join(mixed.select("key", "m"), "key").join(classes.select("id", "n_shingles", "low"), "id")
-    least = least_agreement(percent)
-
-    def work(key, unit):
-        found = sorted({int(k) for i, j in partners(unit, percent, least) for k in (i, *j)})
-        first = min((unit["id"][k] for k in found), default=None)
-        return [(key, unit["id"][k], unit["component"][k], unit["own"][k], first) for k in found]
+    """(unit, id, component, side, band, best, same): the classes of undecided pairs. best and
+    same: the nearest undecided partner of a loose class in the unit, and their agreement.
 
-    return in_units(dealt(rows, "key", "m").select("unit", "id", "component", "n_shingles", "low", "own"), work, "unit bigint, id bigint, component bigint, own bigint, first bigint")
+    A bucket with ``l`` loose classes of ``m`` makes l / BLOCK times m / BLOCK units, so its rows
+    grow with m as long as no more than a block of it is loose.
+    """
+    owned = members.join(labels, "id", "left").select("key", "band", "id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    counts = owned.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("w"))
+    top = F.max(F.struct("c", "component", "w")).alias("top")
+    mixed = counts.groupBy("key").agg(top, F.sum("c").alias("m"), F.sum("w").alias("mw"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    mixed = mixed.select("key", F.col("top.component").alias("main"), "m", "mw", (F.col("m") - F.col("top.c")).alias("l"), (F.col("mw") - F.col("top.w")).alias("lw"))
+    mixed = mixed.select("key", "main", in_blocks("l", "lw").alias("own"), in_blocks("m", "mw").alias("whole"))
+    rows = owned.join(mixed, "key").join(classes.select("id", "low", "marks"), "id").withColumn("loose", F.col("component") != F.col("main"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    place = lambda c: F.pmod(F.xxhash64("id", "key"), F.col(c)).cast("int")
+    columns = ["id", "component", "n_shingles", "low", "marks", "side", "band"]
+    ask = rows.where("loose").withColumns({"side": F.lit(0), "x": place("own")}).withColumn("y", upto("whole"))
+    meet = rows.withColumns({"side": F.when(F.col("loose"), 1).otherwise(2), "y": place("whole")}).withColumn("x", upto("own"))
+    units = ask.select("key", "x", "y", *columns).unionByName(meet.select("key", "x", "y", *columns))
 
+    def work(key, unit):
+        found, best = set(), {}
+        for i, j, same in partners(unit, percent):
+            found.update((int(i), *map(int, j)))
+            k = int(same.argmax())
+            best[int(i)] = (unit["id"][j[k]], int(round(float(same[k]) * COORDS)))
+        return [(key, *(unit[c][k] for c in ("id", "component", "side", "band")), *best.get(k, (None, None))) for k in sorted(found)]
 
-def clustered(active: DataFrame, scratch: Scratch) -> DataFrame:
-    """``active`` dealt anew: classes tied by units form clusters, and a cluster is cut into
-    blocks as a bucket is. A class then stands once in each pair with another block of its
-    cluster, and not once in each band it shares. Clusters of more than ``WIDE`` blocks, where
-    that would be more often, stay in the units of their buckets."""
-    ties = active.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    clusters = components(ties, scratch, "clusters").toDF("id", "cluster")
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    known = scratch.write(clusters.join(sizes, "cluster"), "clusters")
-    columns = ["unit", "id", "component", "own"]
-    whole = active.select("id", "component").distinct().join(known.where(F.col("m") <= WIDE * BLOCK), "id")
-    wide = active.join(known.where(F.col("m") > WIDE * BLOCK).select("id"), "id")
-    return dealt(whole, "cluster", "m").select(*columns).unionByName(wide.select(*columns))
+    schema = "unit bigint, id bigint, component bigint, side bigint, band bigint, best bigint, same bigint"
+    return in_units(units.select(F.xxhash64("key", "x", "y").alias("unit"), *columns), work, schema)
 
 
 def links_within(active: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
@@ -307,9 +324,8 @@ def links_within(active: DataFrame, docs: DataFrame, classes: DataFrame, size: i
             sets = [shingle_set(x, size).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "numbers"])
 
-    sets = narrowed(docs, active.select("id").distinct()).mapInArrow(numbers, "id bigint, numbers binary")
-    rows = active.join(classes.select("id", "n_shingles", "low"), "id").join(sets, "id")
-    least = least_agreement(percent)
+    sets = narrowed(docs, active.select("id")).mapInArrow(numbers, "id bigint, numbers binary")
+    rows = active.join(classes.select("id", "n_shingles", "low", "marks"), "id").join(sets, "id")
 
     def work(key, unit):
         numbers = [np.frombuffer(x, np.uint64) for x in unit["numbers"]]
@@ -320,7 +336,7 @@ def links_within(active: DataFrame, docs: DataFrame, classes: DataFrame, size: i
                 c = merged[c]
             return c
 
-        for i, j in partners(unit, percent, least):
+        for i, j, _ in partners(unit, percent):
             a = numbers[i]
             j = [k for k in j if top(unit["component"][k]) != top(unit["component"][i])]
             if not j or not len(a):
@@ -335,7 +351,35 @@ def links_within(active: DataFrame, docs: DataFrame, classes: DataFrame, size: i
                     merged[x] = y
                     yield min(ids[i], ids[k]), max(ids[i], ids[k])
 
-    return in_units(rows.select("unit", "id", "component", "n_shingles", "low", "own", "numbers"), work, "a bigint, b bigint").distinct()
+    columns = ["unit", "id", "component", "n_shingles", "low", "marks", "side", "band", "numbers"]
+    return in_units(rows.select(*columns), work, "a bigint, b bigint").distinct()
+
+
+def decided(members: DataFrame, links: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(links, labels) with what the undecided pairs add to ``links``."""
+    step = 0
+    while True:
+        labels = components(links, scratch, f"labels-{step}")
+        active = scratch.write(undecided(members, labels, classes, percent), f"active-{step}")
+        nearest = active.where("best is not null").groupBy(F.col("id").alias("a")).agg(F.max(F.struct("same", (-F.col("best")).alias("back"))).alias("t"))
+        pairs = scratch.write(nearest.select("a", (-F.col("t.back")).alias("b")), f"nearest-{step}")
+        asked = pairs.count()
+        if not asked:
+            return links, labels
+        more = scratch.write(verified(pairs, docs, size, percent), f"near-{step}")
+        found = more.count()
+        links = links.union(more)
+        if WORTH * found < asked:
+            labels = components(links, scratch, f"near-labels-{step}")
+            now = active.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            rest = scratch.write(links_within(now, docs, classes, size, percent), "rest")
+            if rest.limit(1).count():
+                links = links.union(rest)
+                labels = components(links, scratch, "labels")
+            scratch.drop(f"active-{step}", f"nearest-{step}")
+            return links, labels
+        scratch.drop(f"active-{step}", f"nearest-{step}")
+        step += 1
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -351,24 +395,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select("doc_id", "text")
     rows = scratch.write(features(docs, size), "rows")
     known = rows.where("set_key is not null and doc_id is not null")
-    by_set = scratch.write(
-        known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("low").alias("low")), "classes"
-    )
-    classes = by_set.select("id", "n_shingles", "bands", "low")
-    entries = classes.select("id", F.explode("bands").alias("key"))
+    firsts = (F.first(c).alias(c) for c in ("n_shingles", "bands", "marks", "low"))
+    by_set = scratch.write(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), *firsts), "classes")
+    classes = by_set.select("id", "n_shingles", "bands", "marks", "low")
+    entries = classes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = scratch.write(entries.join(shared, "key"), "members")
     same = known.select("doc_id", "set_key").join(by_set.select("set_key", "id"), "set_key").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     links = scratch.write(verified(starred(members), docs, size, percent), "star")
-    labels = components(links, scratch, "star-labels")
-    active = scratch.write(undecided(members, labels, classes, percent), "active")
-    if active.limit(1).count():
-        units = scratch.write(clustered(active, scratch), "units")
-        more = scratch.write(links_within(units, docs, classes, size, percent), "more")
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links, scratch, "labels")
-    scratch.drop("active", "units", "members")
+    links, labels = decided(members, links, docs, classes, size, percent, scratch)
+    scratch.drop("members")
     split = by_set.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count()
     if split or known.groupBy("doc_id").agg(F.count_distinct("set_key").alias("k")).where("k > 1").limit(1).count():
         labels = components(links.union(same), scratch, "all-labels")  # an id with several sets ties their classes together
