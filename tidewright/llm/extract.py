@@ -1,27 +1,32 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines: a block element begins a new line. Lines inside elements that
-hold no article text (menus, notices, forms ...) are emptied and stay as empty lines, and the
-edges of sectioning elements leave a gap of empty lines. Sums of text lengths over windows of
-lines then surge where the article begins and dive where it ends. The main text reaches from
-the first stretch that is more than a label to the last one. This search runs on every page. A marked article is joined
-to one stretch and counts ``MARK`` times against text outside marks: such text stays out only
-if it is a single line, or if all of it weighs less than that share of the heaviest mark.
+hold no article text (menus, notices, forms ...) are left out, and the edges of sectioning
+elements leave a gap of empty lines. A line weighs its length; inside a marked article it
+weighs ``MARK`` times that, and an empty line there weighs 1, which joins what a mark holds.
+
+On every page, sums of these weights over windows of lines surge from nothing where a stretch
+of text begins and dive to nothing where it ends, and the peak in between tells text from
+labels. Marks do no more than weigh. Without them the main text reaches from the surge of the
+first stretch whose peak is a paragraph's to the dive of the last one; with them it is every
+marked stretch, and the others only if they are more than a line and together hold at least
+1 / ``MARK`` of the heaviest marked one's text.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines of a window. A stretch ends where a whole window is empty.
+#: Lines of a window. A stretch ends where a whole window weighs nothing.
 WINDOW = 3
 #: How much more a character of a marked article counts than one outside marks.
 MARK = 4
-#: Characters of a stretch that is surely more than a label.
+#: Characters of a window that surely holds more than a label.
 PARAGRAPH = 80
 
 # Elements by role, and class or id words of parts that aren't the article.
@@ -63,28 +68,34 @@ def set_aside(name: str, attrs: str) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, number of the outermost marked article or 0) of every line of the stripped page,
-    in order."""
+    in order. The time is linear in the page, however its elements are nested."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, bool, int]] = []  # name, set aside, marked
+    opened: Counter[str] = Counter()  # elements of the stack by name
     held: list[str] = []
-    aside, marked, marks = False, 0, 0
+    asides, marked, marks = 0, 0, 0
 
-    def end_line(gap: int = 0):
+    def end_line():
         if held:
             text = _SPACE.sub(" ", html.unescape("".join(held))).strip()
             held.clear()
             if text:
                 out.append((text, marked))
-        out.extend([("", marked)] * gap)
+
+    def gap(name: str):
+        if name in SECTIONS:
+            out.extend([("", marked)] * WINDOW)
 
     def close(name: str):
-        nonlocal aside, marked
-        if not any(s[0] == name for s in stack):
-            return
-        while stack:
-            top, _, _ = stack.pop()
-            end_line(WINDOW if top in SECTIONS else 0) if top in BLOCKS else None
-            aside, marked = any(s[1] for s in stack), stack[-1][2] if stack else 0
+        nonlocal asides, marked
+        while opened[name]:
+            top, aside, _ = stack.pop()
+            if top in BLOCKS:
+                end_line()
+            opened[top] -= 1
+            asides -= aside
+            marked = stack[-1][2] if stack else 0
+            gap(top)
             if top == name:
                 break
 
@@ -94,83 +105,84 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         at = m.end()
         name = (m[2] or "").lower()
         if not name:
-            if not (m[0].startswith("<!") or m[0].startswith("<?")) and not aside:
+            if not (m[0].startswith("<!") or m[0].startswith("<?")) and not asides:
                 held.append(m[0])
             continue
         if m[1]:
-            if name == "p" and not any(s[0] == "p" for s in stack):
+            if name == "p" and not opened["p"]:
                 end_line()
             close(name)
             continue
         if name in SILENT:
-            shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             if name == "head":
                 continue
             if not m[0].endswith("/>"):
+                shut = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = shut.end() if shut else n
             continue
         if name == "br":
             held.append(" ")
             continue
-        if name in CLOSES_P and any(s[0] == "p" for s in stack):
+        if name in CLOSES_P and opened["p"]:
             close("p")
         if name in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
             close(name)
         if name in BLOCKS:
-            end_line(WINDOW if name in SECTIONS else 0)
+            end_line()
+            gap(name)
         if name in VOID or m[0].endswith("/>"):
             continue
         if not marked and (name in ARTICLE or "articlebody" in m[3].lower()):
             marked = marks = marks + 1
-        stack.append((name, set_aside(name, m[3]), marked))
-        aside = any(s[1] for s in stack)
+        aside = set_aside(name, m[3])
+        stack.append((name, aside, marked))
+        opened[name] += 1
+        asides += aside
     end_line()
     return out
 
 
-def stretches(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
-    """(first, end, weight): lines between a surge of the window sums and the next dive."""
-    sums, out, first = [], [], None
-    total = 0
-    for i in range(len(lengths) + window):
-        total += (lengths[i] if i < len(lengths) else 0) - (lengths[i - window] if i >= window else 0)
-        sums.append(total)
-    for i, s in enumerate(sums):
-        if s and first is None:
-            first = i
-        elif not s and first is not None:
-            end = i - window + 1
-            out.append((first, end, sum(lengths[first:end])))
-            first = None
+def stretches(weights: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
+    """(first, end, peak): the lines from each surge of the window sums from nothing to the next
+    dive to nothing, and the largest sum in between."""
+    out, first, total, peak = [], 0, 0, 0
+    for i in range(len(weights) + window):
+        before, total = total, total + (weights[i] if i < len(weights) else 0) - (weights[i - window] if i >= window else 0)
+        if total and not before:
+            first, peak = i, 0
+        elif before and not total:
+            out.append((first, i - window + 1, peak))
+        peak = max(peak, total)
     return out
 
 
 def main_text(page: str | None) -> str:
     """Blocks of the main text, joined by two line ends; empty if there is none."""
     lines = lines_of(page or "")
-    weights: dict[int, int] = {}
-    for t, m in lines:
-        weights[m] = weights.get(m, 0) + len(t)
-    heaviest = max((w for m, w in weights.items() if m), default=0)
-    found = stretches([0 if m else len(t) for t, m in lines])
-    if not heaviest:
-        if not found:
-            return ""
+    found = stretches([MARK * len(t) + 1 if m else len(t) for t, m in lines])
+    if not found:
+        return ""
+    marked = [x for x in found if any(m for _, m in lines[x[0] : x[1]])]
+    others = [x for x in found if x not in marked]
+    least = min(PARAGRAPH, max(peak for _, _, peak in found) / 4)
+    others = [x for x in others if x[2] >= least]
+    if not marked:
         # an article may lie in several sections: everything from its first stretch to its last
-        least = min(PARAGRAPH, max(w for _, _, w in found) / 4)
-        article = [x for x in found if x[2] >= least]
-        return "\n\n".join(t for t, _ in lines[article[0][0] : article[-1][1]] if t)
-    # a marked article is one stretch, whatever gaps its own sections leave
-    kept = {i for i, (t, m) in enumerate(lines) if m and t}
-    outside = {i for first, end, w in found if w >= PARAGRAPH for i in range(first, end) if lines[i][0] and not lines[i][1]}
-    if len(outside) > 1 and MARK * sum(len(lines[i][0]) for i in outside) >= heaviest:
-        kept |= outside
-    return "\n\n".join(lines[i][0] for i in sorted(kept))
+        return "\n\n".join(t for t, _ in lines[others[0][0] : others[-1][1]] if t)
+
+    def texts(some):
+        return [t for first, end, _ in some for t, _ in lines[first:end] if t]
+
+    heaviest = max(sum(map(len, texts([x]))) for x in marked)
+    if len(texts(others)) <= 1 or MARK * sum(map(len, texts(others))) < heaviest:
+        others = []
+    return "\n\n".join(texts(sorted(marked + others)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row; a null or empty page has an empty text.
-    Repeated rows and null ids stay as they are."""
+    """(page_id, url, text, n_chars) for every row; a null or empty page has an empty text, a
+    page of one long line that line. Repeated rows, null ids and null urls stay as they are;
+    other columns, whatever their names, are left out. An empty table gives an empty result."""
 
     def run(batches):
         for batch in batches:
