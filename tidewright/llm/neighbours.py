@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ORDERINGS, DIRECTIONS, BITS = 5, 6, 10
+ORDERINGS, DIRECTIONS, BITS = 5, 4, 10
 #: Blocks of an ordering, and how many on each side of its own a query is compared with.
 BLOCKS, REACH = 48, 9
-#: Rows of a block at least, so that small tables are compared as a whole.
-LEAST_ROWS = 32
 #: Rows of a block that are handled together.
 TASK_ROWS = 8192
 
@@ -129,16 +127,16 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, vec: str = "embed
     ``is_query`` is a condition on vec_id. Vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do rows without id; vectors of different lengths
     never meet. Rows with one id are one vector (that of the best score). Ties go to smaller ids.
+    Columns besides vec_id and ``vec``, whatever their names, are left out. An empty table gives
+    an empty result. Every table is cut into ``blocks`` blocks an ordering, however small.
     """
     scratch = Scratch(vectors.sparkSession, "neighbours")
     held = scratch.write(indexed(vectors, orderings, vec), "keys")
     flat = held.select("vec_id", "v", "dim", F.posexplode("keys").alias("ordering", "key"))
     # at most `blocks` bounds per ordering and vector length
-    bounds = flat.groupBy("dim", "ordering").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("bounds"), F.count(F.lit(1)).alias("n"))
+    bounds = flat.groupBy("dim", "ordering").agg(F.percentile_approx("key", [i / blocks for i in range(1, blocks)], 20_000).alias("bounds"))
     lower = F.size(F.filter("bounds", lambda b: b < F.col("key")))
-    number = F.least(F.lit(blocks), F.greatest(F.lit(1), F.floor(F.col("n") / LEAST_ROWS)))
-    block = F.floor(lower * number / blocks).cast("int")
-    drawn = flat.join(F.broadcast(bounds), ["dim", "ordering"]).select("vec_id", "v", "dim", "ordering", block.alias("drawn"))
+    drawn = flat.join(F.broadcast(bounds), ["dim", "ordering"]).select("vec_id", "v", "dim", "ordering", lower.alias("drawn"))
     # only blocks that hold rows count in reach: a hot key leaves empty numbers after it
     dense = F.dense_rank().over(Window.partitionBy("dim", "ordering").orderBy("drawn")) - 1
     numbers = drawn.select("dim", "ordering", "drawn").distinct().withColumn("block", dense)
