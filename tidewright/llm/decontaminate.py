@@ -5,12 +5,15 @@ least one piece must stand unchanged in any passage within the budget. An Aho-Co
 automaton finds all pieces in one pass over a text; each hit names a place, and the item's
 distance to the best passage there decides.
 
-Texts are compared as lower-case letters and digits, other runs being one blank.
+Texts are compared as lower-case letters and digits, other runs being one blank. Items and
+texts stand between blanks, so the edge of an item's first and last word counts like any other
+character, and items too short for a budget are found as whole words alone.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 import ahocorasick
 import pyarrow as pa
@@ -18,8 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.08
-#: Items shorter than this many characters must stand word by word.
-SHORT = 32
 #: Characters of benchmark text that a pass over the documents looks for; a larger benchmark
 #: takes more passes, so what is sent to executors stays bounded.
 BLOCK_CHARS = 4_000_000
@@ -32,7 +33,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(item: str, rate: float = RATE) -> int:
-    return int(len(item) * rate) if len(item) >= SHORT else 0
+    return int(len(item) * rate)
 
 
 def cut(item: str, k: int) -> list[tuple[int, str]]:
@@ -80,10 +81,8 @@ class Finder:
             body = normal(text)
             if not body:
                 continue
-            k = budget(body, rate)
-            short = len(body) < SHORT
-            self.items.append((item_id, f" {body} " if short else body, k))
-            for at, piece in cut(self.items[-1][1], k):
+            self.items.append((item_id, f" {body} ", budget(body, rate)))
+            for at, piece in cut(*self.items[-1][1:]):
                 pieces.setdefault(piece, []).append((len(self.items) - 1, at))
         self.masks = [None] * len(self.items)
         self.automaton = ahocorasick.Automaton()
@@ -94,7 +93,8 @@ class Finder:
         self.any = bool(pieces)
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
-        """(item_id, distance, end in the normal text), the nearest passage of each item."""
+        """(item_id, distance, end), the nearest passage of each item; end: where it ends in the
+        normal text."""
         body = f" {normal(text)} "
         tried: dict[tuple[int, int], None] = {}
         best: dict[int, tuple[int, int]] = {}
@@ -117,7 +117,7 @@ class Finder:
                     continue
                 if found[0] <= k and found < best.get(i, (k + 1, 0)):
                     best[i] = found
-        return sorted((self.items[i][0], d, max(0, end - 1)) for i, (d, end) in best.items())
+        return sorted((self.items[i][0], d, len(body[1:end].rstrip())) for i, (d, end) in best.items())
 
 
 def blocks(benchmark: DataFrame, block_chars: int):
@@ -135,22 +135,35 @@ def blocks(benchmark: DataFrame, block_chars: int):
         yield held
 
 
+_BUILT: dict[str, Finder] = {}
+
+
+def finder_of(name: str, items: list[tuple[int, str]], rate: float) -> Finder:
+    """The finder of the block of this name. A worker keeps that of its last block."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Finder(items, rate)
+    return _BUILT[name]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, end): the nearest passage of every item within its budget.
 
-    distance: edits between the item and the passage; end: where it ends in the normal form
-    of the text. Null or empty texts hold nothing; items that are null, without id or without
-    letters and digits are not looked for; rows that repeat are reported once each; items
-    under ``SHORT`` characters must stand word by word.
+    distance: edits between the item and the passage, word edges included; end: where it ends
+    in the normal form of the text. Null or empty texts hold nothing; very long texts are read
+    whole; items that are null, without id or without letters and digits are not looked for;
+    rows that repeat are reported once each, equal items of one id once; ties go to the leftmost
+    of the nearest passages. Columns besides doc_id and text, whatever their names, are left
+    out. An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id bigint, item_id bigint, distance bigint, end bigint"
     out = None
     for block in blocks(benchmark, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches, sent=sent):
-            finder = Finder(sent.value, rate)
+        def run(batches, sent=sent, name=name):
+            finder = finder_of(name, sent.value, rate)
             for batch in batches:
                 rows = []
                 for k in range(0, batch.num_rows, 256):
@@ -166,15 +179,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark passage; rows without id stay
-    unless their own text holds one."""
+    """``docs``, with all its columns, without the rows whose text holds a benchmark passage.
+
+    Each row is judged by its own text: null and empty texts, and rows without id, stay unless
+    it holds one; repeated rows share their fate. An empty benchmark leaves all rows.
+    """
     spark = docs.sparkSession
     kept = docs
     for block in blocks(benchmark, block_chars):
-        sent = spark.sparkContext.broadcast(block)
+        sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def run(batches, sent=sent):
-            finder = Finder(sent.value, rate)
+        def run(batches, sent=sent, name=name):
+            finder = finder_of(name, sent.value, rate)
             for batch in batches:
                 text = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield batch.filter(pa.array([not finder.find(x) for x in text], pa.bool_()))
@@ -184,5 +200,6 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, b
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_ids): contaminated documents and the items they hold."""
+    """(doc_id, item_ids): contaminated documents and the items they hold; rows that share a
+    doc_id (null included) are one document, and clean documents have no row."""
     return matches(docs, benchmark).groupBy("doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
