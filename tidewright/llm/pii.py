@@ -1,7 +1,8 @@
 """Personal data: regular expressions propose spans, checksums confirm, context adjusts.
 
 Everything is a DataFrame expression. A text is split by a kind's pattern into the gaps
-between its matches; gap and match lengths give each match's start and end in code points.
+between its matches; gap and match lengths, summed along the text, give each match's start and
+end in code points.
 The patterns are written without backtracking over groups (possessive repeats, and a start
 that must not lie inside a run), which leaves their matches as they are and keeps the time
 linear in the text.
@@ -82,24 +83,66 @@ KINDS = (
 )
 BASE = KINDS[:4]
 CUE_GAIN, LEAST_SCORE, NEAR = 0.3, 0.5, 40
+#: Code points of the pieces that a text is rebuilt from.
+CHUNK = 1024
+
+
+def gathered(items: Column, start: dict[str, Column], out: str, step) -> Column:
+    """``F.aggregate`` over ``items`` from the state ``start`` to a state that also has ``parts``:
+    all that ``step(state, item)`` appends. It returns (next state, item to append, whether).
+
+    Appending to one array copies it each time. Here the items go in runs of about the root of
+    their number, each run into an array of its own, so the copying stays far below the square.
+    """
+    empty, none = F.from_json(F.lit("[]"), f"array<{out}>"), F.from_json(F.lit("[]"), f"array<array<{out}>>")
+
+    def state(parts: Column, **fields: Column) -> Column:
+        return F.struct(*(c.alias(n) for n, c in fields.items()), parts.alias("parts"))
+
+    def one(acc: Column, item: Column) -> Column:
+        fields, value, wanted = step(acc, item)
+        more = F.concat(acc["parts"], F.array(value))
+        return state(more if wanted is None else F.when(wanted, more).otherwise(acc["parts"]), **fields)
+
+    def one_run(acc: Column, run: Column) -> Column:
+        # the array of one state binds the run's result, so that it is made once
+        inner = F.aggregate(run, state(empty, **{n: acc[n] for n in start}), one)
+        return F.transform(F.array(inner), lambda z: state(F.concat(acc["parts"], F.array(z["parts"])), **{n: z[n] for n in start}))[0]
+
+    def whole(z: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(z))).cast("int"), F.lit(1))
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(z), F.lit(1)), width)
+        runs = F.transform(firsts, lambda i: F.slice(z, i, width))
+        return F.aggregate(runs, state(none, **start), one_run, lambda acc: state(F.flatten(acc["parts"]), **{n: acc[n] for n in start}))
+
+    return F.transform(F.array(items), whole)[0]
+
+
+SPAN = "struct<start:int,end:int,hit:string,before:string,after:string>"
 
 
 def proposed(text: Column, kind: Kind) -> Column:
-    """Array of (start, end, hit): every leftmost non-overlapping match, in code points."""
+    """Array of (start, end, hit, before, after): every leftmost non-overlapping match, in code
+    points, with up to ``NEAR`` code points on each side.
+
+    What stands before a match is carried along the gaps, and what stands after it is captured
+    by a look-ahead, so no match makes the text be read again from its start.
+    """
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, kind.pattern, -1), F.length)
-    widths = F.transform(hits, F.length)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), widths.alias("width"), hits.alias("hit"))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,hit:string>>")
+    after = F.regexp_extract_all(text, F.lit(f"(?:{kind.pattern})(?=((?s:.{{0,{NEAR}}})))"), F.lit(1))
+    gaps = F.split(text, kind.pattern, -1)
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), after.alias("after"))
+    tail = lambda x: F.substring(x, -NEAR, NEAR)
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + p["gap"]
-        end = start + p["width"]
-        one = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+    def step(acc: Column, p: Column):
+        start = acc["at"] + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        before = tail(F.concat(acc["tail"], tail(p["gap"])))
+        one = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"), before.alias("before"), p["after"].alias("after"))
+        return {"at": end, "tail": tail(F.concat(before, p["hit"]))}, one, None
 
-    folded = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(text.rlike(kind.pattern), folded).otherwise(empty)
+    folded = gathered(pairs, {"at": F.lit(0), "tail": F.lit("")}, SPAN, step)["parts"]
+    return F.when(text.rlike(kind.pattern), folded).otherwise(F.from_json(F.lit("[]"), f"array<{SPAN}>"))
 
 
 def confirmed(text: Column, kind: Kind) -> Column:
@@ -108,9 +151,7 @@ def confirmed(text: Column, kind: Kind) -> Column:
     passing = F.filter(proposed(text, kind), lambda s: kind.valid(s["hit"]))
 
     def scored(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
-        after = F.substr(text, s["end"] + 1, F.lit(NEAR))
-        cue = before.rlike(kind.cue) | after.rlike(kind.cue)
+        cue = s["before"].rlike(kind.cue) | s["after"].rlike(kind.cue)
         score = F.lit(kind.prior) + F.when(cue, CUE_GAIN * (1 - kind.prior)).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
@@ -118,13 +159,24 @@ def confirmed(text: Column, kind: Kind) -> Column:
     return out if kind.certain else F.filter(out, lambda s: s["score"] >= LEAST_SCORE)
 
 
-def find(docs: DataFrame, text: str = "text") -> DataFrame:
+def columns_of(kinds: tuple[Kind, ...], taken: list[str], prefix: str = "pii_") -> dict[str, str]:
+    """The column of each kind's spans; a name that the caller's table has is refused."""
+    names = {k.name: f"{prefix}{k.name}" for k in kinds}
+    if clash := sorted({n.lower() for n in names.values()} & {c.lower() for c in taken}):
+        raise ValueError(f"the table has columns named {', '.join(clash)}: pass another prefix")
+    return names
+
+
+def find(docs: DataFrame, text: str = "text", prefix: str = "pii_") -> DataFrame:
     """``docs`` with ``pii_email``, ``pii_ip`` ...: arrays of (kind, start, end, score).
 
-    A null text counts as empty; a text without matches has empty arrays. Other columns stay.
+    A null text counts as empty; a text without matches has empty arrays. Other columns stay; a
+    column that has one of the new names raises ValueError, and ``prefix`` gives others. Rows are
+    independent of each other, so repeated rows have equal arrays and an empty table stays empty.
     """
+    names = columns_of(KINDS, docs.columns, prefix)
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({f"pii_{k.name}": confirmed(body, k) for k in KINDS})
+    return docs.withColumns({names[k.name]: confirmed(body, k) for k in KINDS})
 
 
 def joined(kinds: tuple[Kind, ...]) -> Column:
@@ -134,7 +186,14 @@ def joined(kinds: tuple[Kind, ...]) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts, the digest of the base spans, and all spans of every document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans): counts, the digest of the base
+    spans, and all spans of every row.
+
+    A null or empty text, or one without matches, has counts of 0, the digest of the empty string
+    and empty spans; very long texts are read whole. Repeated rows and null ids have a row each;
+    columns besides doc_id and text, whatever their names, are left out. An empty table gives an
+    empty result.
+    """
     found = find(docs.select("doc_id", "text"))
     counts = {f"n_{k.name}": F.size(f"pii_{k.name}").cast("long") for k in BASE}
     return found.select(
@@ -143,7 +202,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """Redacted documents, their n_chars that of the new text (unchanged for null texts)."""
+    """Redacted documents, their n_chars that of the new text (unchanged for null texts); all
+    other columns stay, as ``redact`` says."""
     out = redact(docs)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in docs.columns else out
 
@@ -151,20 +211,26 @@ def cleaned(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``[KIND]``; of overlapping spans
     the earliest, and of those the longest, names the replacement, and all are covered. Texts
-    without spans, and nulls, stay as they are."""
+    without spans, and nulls, stay as they are, and so do all other columns, whatever their
+    names. Rows are independent of each other."""
     body = F.coalesce(F.col(text), F.lit(""))
-    found = find(docs.withColumn("_row_text", F.col(text)), text)
     spans = F.array_sort(
-        F.transform(F.concat(*(F.col(f"pii_{k.name}") for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
+        F.transform(F.concat(*(confirmed(body, k) for k in KINDS)), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.substr(body, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], end).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
-
-    rebuilt = F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(body, acc["at"] + 1, F.length(body))))
-    total = sum((F.size(f"pii_{k.name}") for k in KINDS), F.lit(0))
-    return found.withColumn(text, F.when(total > 0, rebuilt).otherwise(F.col("_row_text"))).select(*docs.columns)
+    chunks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    def rebuilt(z: Column) -> Column:
+        def between(a: Column, b: Column) -> Column:
+            # only the chunks that hold the piece are read
+            first, last = F.floor(a / CHUNK).cast("int"), F.floor((F.greatest(b, a + 1) - 1) / CHUNK).cast("int")
+            return F.substr(F.array_join(F.slice(z["chunks"], first + 1, last - first + 1), ""), a % CHUNK + 1, F.greatest(b - a, F.lit(0)))
+
+        def step(acc: Column, s: Column):
+            piece = F.concat(between(acc["at"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return {"at": F.greatest(acc["at"], -s["back"])}, piece, s["start"] >= acc["at"]
+
+        end = F.transform(F.array(gathered(z["spans"], {"at": F.lit(0)}, "string", step)), lambda e: F.concat(F.array_join(e["parts"], ""), between(e["at"], z["n"])))[0]
+        return F.when(F.size(z["spans"]) > 0, end)
+
+    # the array of one struct binds chunks and spans, so that they are made once
+    once = F.transform(F.array(F.struct(chunks.alias("chunks"), spans.alias("spans"), F.length(body).alias("n"))), rebuilt)[0]
+    return docs.withColumn(text, F.coalesce(once, F.col(text)))
