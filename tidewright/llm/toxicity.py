@@ -1,17 +1,22 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Insults are accepted by a weighted automaton of word stems: fixed ones, and stems learned
-from labelled documents by their likelihood ratio. Threats, targets, negation and reported
-speech are small transducers over the words of a clause. The composition walks a matched
-clause once: an insult's weight rises where the clause names a target, falls after a negation
-and inside reported speech; a threat counts where a target follows. A document's score is a
-logistic function of its clauses' weights; isolated words outside clauses don't exist.
+from labelled documents by their likelihood ratio. A clause is read as symbols: the roles of
+each word, quotation marks, and the end of each word. Four small transducers rewrite them:
+negation marks what stands a few words after a negation, reported speech marks what follows a
+verb of saying or stands in quotation marks, target raises a clause that names one, and threat
+turns a threat and the target after it into one hit. Each mark lessens the weight of the insult
+or threat it stands on. The four are composed into one machine of states and weighted arcs,
+which reads every matched clause once. A document's score is a logistic function of its
+clauses' weights; isolated words outside clauses don't exist.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -34,9 +39,10 @@ THREATS = "kill hurt destroy beat stab shoot burn crush smash murder".split()
 TARGETS = "you your yours u he she they them him her his their these those people tu te vous votre ihr du dich euch sie usted ustedes ellos".split()
 NEGATIONS = "not no never isn't aren't wasn't don't doesn't nicht kein keine pas jamais nunca jamás".split()
 REPORTS = "said says told wrote called claimed reported according quoted sagte schrieb dit écrit dijo escribió".split()
-TARGET_GAIN, NEGATION_LOSS, REPORT_LOSS, NEAR = 0.25, 0.5, 0.3, 3
+TARGET_GAIN, NEGATION_LOSS, REPORT_LOSS, THREAT, NEAR = 0.25, 0.5, 0.3, 2.0, 3
 
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_PIECE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"\u201c\u201d\u00ab\u00bb]")
 _CLAUSE = re.compile(r"[.!?;\n]+")
 
 
@@ -83,8 +89,107 @@ def choose(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) -> dict[s
     return out
 
 
+# ---- transducers: symbols are a role and its marks ("insult-", "insult-n", "insult-nr" ...)
+
+MARKS = ("-", "-n", "-r", "-nr")
+MARKED = ("insult", "threat")
+PLAIN = ("target", "negation", "report", "quote", "end", "hit")
+SYMBOLS = [r + m for r in MARKED for m in MARKS] + list(PLAIN)
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """A deterministic machine: ``arcs[state][symbol]`` is (next state, symbol, weight factor),
+    and ``final`` the factor of a path's insults that ends in a state. State 0 begins."""
+
+    arcs: tuple[dict[str, tuple[int, str, float]], ...]
+    final: tuple[float, ...]
+
+
+def machine(n: int, moves: dict[tuple[int, str], tuple[int, str, float]], final: dict[int, float] | None = None) -> Transducer:
+    """A transducer that lets every symbol pass, with these exceptions."""
+    arcs = tuple({x: moves.get((s, x), (s, x, 1.0)) for x in SYMBOLS} for s in range(n))
+    return Transducer(arcs, tuple((final or {}).get(s, 1.0) for s in range(n)))
+
+
+def marking(state: int, mark: str, keep: int, loss: float) -> dict:
+    """In ``state`` insults and threats get a mark, at a loss."""
+    moves = {}
+    for r in MARKED:
+        for m in MARKS:
+            if mark not in m:
+                new = "-" + "".join(x for x in "nr" if x in m + mark)
+                moves[state, r + m] = (keep, r + new, 1 - loss)
+    return moves
+
+
+def negation() -> Transducer:
+    """State k: a negation's scope goes on for k - 1 more words."""
+    moves = {}
+    for k in range(NEAR + 1):
+        moves[k, "negation"] = (NEAR, "negation", 1.0)
+        if k:
+            moves[k, "end"] = (k - 1, "end", 1.0)
+            moves |= marking(k, "n", k, NEGATION_LOSS)
+    return machine(NEAR + 1, moves)
+
+
+def reported() -> Transducer:
+    """States: plain, after a verb of saying, in quotation marks, both."""
+    moves = {}
+    for s in range(4):
+        moves[s, "report"] = (s | 1, "report", 1.0)
+        moves[s, "quote"] = (s ^ 2, "quote", 1.0)
+        if s:
+            moves |= marking(s, "r", s, REPORT_LOSS)
+    return machine(4, moves)
+
+
+def targeted() -> Transducer:
+    """State 1: the clause names a target, before its insults or after them."""
+    return machine(2, {(0, "target"): (1, "target", 1.0)}, {1: 1 + TARGET_GAIN})
+
+
+def threatened() -> Transducer:
+    """State k > 0: a threat with the marks ``MARKS[k - 1]`` waits for a target; the two are a hit,
+    whose weight the marks have lessened. Threats alone leave nothing."""
+    moves = {}
+    for s in range(len(MARKS) + 1):
+        for k, m in enumerate(MARKS):
+            moves[s, "threat" + m] = (k + 1, "end", 1.0)
+        if s:
+            loss = (1 - NEGATION_LOSS * ("n" in MARKS[s - 1])) * (1 - REPORT_LOSS * ("r" in MARKS[s - 1]))
+            moves[s, "target"] = (0, "hit", THREAT * loss)
+    return machine(len(MARKS) + 1, moves)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that reads what ``first`` reads and writes what ``second`` makes of its output."""
+    number, arcs, at = {(0, 0): 0}, [], 0
+    states = [(0, 0)]
+    while at < len(states):
+        a, b = states[at]
+        out = {}
+        for x in SYMBOLS:
+            a2, y, v = first.arcs[a][x]
+            b2, z, w = second.arcs[b][y]
+            if (a2, b2) not in number:
+                number[a2, b2] = len(states)
+                states.append((a2, b2))
+            out[x] = (number[a2, b2], z, v * w)
+        arcs.append(out)
+        at += 1
+    return Transducer(tuple(arcs), tuple(first.final[a] * second.final[b] for a, b in states))
+
+
+@cache
+def clause_machine() -> Transducer:
+    return compose(compose(compose(negation(), reported()), targeted()), threatened())
+
+
 class Grammar:
-    """The composed transducers, as an automaton over a text and a walk over its clauses."""
+    """The automaton that accepts insults in a text, and the composed machine that reads the
+    clauses they stand in."""
 
     def __init__(self, weights: dict[str, float]):
         self.automaton = ahocorasick.Automaton()
@@ -97,7 +202,11 @@ class Grammar:
             if w not in self.automaton:
                 self.automaton.add_word(w, (len(w), 0.0, True))
         self.automaton.make_automaton()
-        self.threats, self.targets, self.negations, self.reports = (frozenset(x) for x in (THREATS, TARGETS, NEGATIONS, REPORTS))
+        self.machine = clause_machine()
+        self.roles: dict[str, list[str]] = {}
+        for words, symbol in ((THREATS, "threat-"), (TARGETS, "target"), (NEGATIONS, "negation"), (REPORTS, "report")):
+            for w in words:
+                self.roles.setdefault(w, []).append(symbol)
 
     def hits(self, text: str) -> dict[int, tuple[int, float]]:
         """start -> (length, weight) of accepted words; a stem accepts the words it begins."""
@@ -134,27 +243,21 @@ class Grammar:
         return out
 
     def walk(self, text: str, start: int, end: int, hits: dict[int, tuple[int, float]]) -> float:
-        reported, target, negated, threat, total = False, False, 0, 0.0, 0.0
-        quoted = 0
-        words = [(m.start(), m[0]) for m in _WORD.finditer(text, start, end)]
-        target = any(w in self.targets for _, w in words)
-        for at, w in words:
-            quoted ^= at > start and text[at - 1] in "\"“”«»"
-            reported |= w in self.reports
-            negated = NEAR if w in self.negations else max(0, negated - 1)
-            if w in self.threats:
-                threat = 2.0
-            elif threat and w in self.targets:
-                total, threat = total + threat, 0.0
-            if at in hits and (weight := hits[at][1]) > 0:
-                if target:
-                    weight *= 1 + TARGET_GAIN
-                if negated and w not in self.negations:
-                    weight *= 1 - NEGATION_LOSS
-                if reported or quoted:
-                    weight *= 1 - REPORT_LOSS
-                total += weight
-        return total
+        """What the composed machine makes of the clause: the weights of its insults and hits."""
+        arcs, state, insults, threats = self.machine.arcs, 0, 0.0, 0.0
+        for m in _PIECE.finditer(text, start, end):
+            if not m[0][0].isalpha():
+                state = arcs[state]["quote"][0]
+                continue
+            weight = hits.get(m.start(), (0, 0.0))[1]
+            symbols = self.roles.get(m[0], [])
+            for symbol in (["insult-", *symbols, "end"] if weight > 0 else [*symbols, "end"]):
+                state, out, factor = arcs[state][symbol]
+                if out == "hit":
+                    threats += factor
+                elif symbol == "insult-":
+                    insults += weight * factor
+        return insults * self.machine.final[state] + threats
 
     def numbers(self, text: str | None) -> list[float]:
         """What the logistic function reads: heaviest clause, all clauses, their number, and
@@ -186,8 +289,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     Labels of held-out documents, null labels and labels without document are not learned
-    from; without labels the seeds alone score. Null and empty texts have the score of texts
-    without matched clauses. Repeated rows are scored each; a null doc_id is not held out.
+    from; without labels the seeds alone score, and a doc_id with several labels counts as toxic
+    if one of them says so. Null and empty texts have the score of texts without matched clauses;
+    very long texts are read whole. Repeated rows are scored each; a null doc_id is not held out.
+    Other columns, whatever their names, are left out. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
