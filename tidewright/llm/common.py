@@ -7,13 +7,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no ``spark.checkpoint.dir`` (tests, notebooks).
+#: Used only by sessions of one machine that name no ``spark.checkpoint.dir`` (tests, notebooks).
 LOCAL_SHARED = "file:///tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return LOCAL_SHARED
 
 
 def new_path(spark: SparkSession, name: str) -> str:

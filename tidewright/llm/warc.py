@@ -65,12 +65,13 @@ class Stream:
     """Inflates a gzip file (any number of members) in chunks and hands out its bytes."""
 
     def __init__(self, raw):
-        self.raw, self.z, self.have, self.left = raw, zlib.decompressobj(GZIP), bytearray(), b""
+        self.raw, self.z, self.have, self.left, self.begun = raw, zlib.decompressobj(GZIP), bytearray(), b"", False
 
     def fill(self) -> bool:
         data = self.left or self.raw.read(CHUNK)
         if not data:
             return False
+        self.begun = True
         if self.z.eof:
             self.z = zlib.decompressobj(GZIP)
         self.have += self.z.decompress(data, CHUNK)
@@ -85,6 +86,8 @@ class Stream:
             if not self.fill():
                 if self.have.strip():
                     raise ValueError("truncated WARC head")
+                if self.begun and not self.z.eof:
+                    raise ValueError("truncated gzip stream")  # cut where a record ends
                 return None
         out = bytes(self.have[:at])
         del self.have[: at + len(mark)]
@@ -191,6 +194,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive").mapInArrow(prepared, "archive string, index string, records bigint, bytes bigint")
 
 
+#: Payload bytes after which a batch of read records is handed on.
+BATCH_BYTES = 1 << 24
 READ = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary, archive string, offset bigint"
 
 
@@ -205,11 +210,17 @@ def read_archives(normalised: DataFrame, payloads: bool = True) -> DataFrame:
                 with fs.open_input_stream(open_fs(index)[1], compression=None) as f:
                     entries = [json.loads(x) for x in f.read().splitlines()]
                 with fs.open_input_file(path) as f:
-                    for k in range(0, len(entries), 200):
-                        found = [read_member(f.read_at(e["length"], e["offset"])) | {"archive": archive, "offset": e["offset"]} for e in entries[k : k + 200]]
+                    found, size = [], 0
+                    for e in entries:
+                        r = read_member(f.read_at(e["length"], e["offset"])) | {"archive": archive, "offset": e["offset"]}
                         if not payloads:
-                            found = [r | {"payload": None} for r in found]
-                        yield pa.RecordBatch.from_pylist(found, schema=READ_ARROW)
+                            r["payload"] = None
+                        found.append(r)
+                        size += len(r["payload"] or b"")
+                        if len(found) == 200 or size > BATCH_BYTES:
+                            yield pa.RecordBatch.from_pylist(found, schema=READ_ARROW)
+                            found, size = [], 0
+                    yield pa.RecordBatch.from_pylist(found, schema=READ_ARROW)
 
     return normalised.select("archive", "index").mapInArrow(read, READ)
 
