@@ -2,14 +2,19 @@
 
 import hashlib
 import re
+import time
 import zlib
 from base64 import b32encode
 
+import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidewright.llm import decontaminate, extract, minhash, neighbours, packing, pii, quality, sharding, toxicity, warc
+from tidewright.llm import decontaminate, extract, minhash, neighbours, packing, pii, quality, queries, sharding, toxicity, warc
 from tidewright.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -71,6 +76,31 @@ def test_normaliser_rewrites_members(tmp_path):
 # ---- toxicity and quality
 
 
+def test_truncated_archives_are_refused(tmp_path):
+    records = [warc.record_bytes(i, "u", b"x" * 50_000, warc.digest_of(b"x" * 50_000), None) for i in range(6)]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    whole = z.compress(b"".join(records[:3])) + z.flush(zlib.Z_FULL_FLUSH)
+    (tmp_path / "cut.warc.gz").write_bytes(whole)  # ends where a record ends, without the stream's end
+    with pytest.raises(ValueError, match="truncated"):
+        warc.normalise_file(f"file://{tmp_path}/cut.warc.gz", f"file://{tmp_path}/out.warc.gz")
+    (tmp_path / "good.warc.gz").write_bytes(whole + z.compress(b"".join(records[3:])) + z.flush())
+    assert warc.normalise_file(f"file://{tmp_path}/good.warc.gz", f"file://{tmp_path}/out.warc.gz")["records"] == 6
+    (tmp_path / "none.warc.gz").write_bytes(b"")
+    assert warc.normalise_file(f"file://{tmp_path}/none.warc.gz", f"file://{tmp_path}/none-out.warc.gz")["records"] == 0
+
+
+@pytest.mark.parametrize("name", ["op1_warc", "op10_minhash"])
+def test_queries_match_their_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def labelled(spark, n=400):
     texts, toxic, good = [], [], []
     rng = np.random.default_rng(1)
@@ -107,6 +137,33 @@ def test_grammar():
     assert len(g.clauses("idiot. fine.\nmoron; x")) == 2
 
 
+def test_roles_compose():
+    """Every pair of roles: negation and report lessen insults and threats alike, once each."""
+    g = toxicity.Grammar(toxicity.choose([], 0, 0))
+    weight = lambda text: pytest.approx(sum(w for _, _, w in g.clauses(text)))
+    n, r, t = 1 - toxicity.NEGATION_LOSS, 1 - toxicity.REPORT_LOSS, 1 + toxicity.TARGET_GAIN
+    for before, factor in (("", 1), ("not ", n), ("said ", r), ("said not ", r * n), ("not said ", r * n), ("never not ", n), ("said wrote ", r)):
+        assert weight(f"{before}idiot") == 3 * factor and weight(f"{before}idiot you") == 3 * t * factor
+        assert weight(f"{before}kill you") == toxicity.THREAT * factor and weight(f"{before}kill it") == 0
+    assert weight('"kill you" kill you') == toxicity.THREAT * (1 + r) and weight("I will not kill you") == toxicity.THREAT * n
+    assert weight("not one two three idiot") == 3 and weight("you kill") == 0 and weight("kill kill you you") == toxicity.THREAT
+
+
+def test_composition_agrees_with_running_the_machines_in_turn():
+    rng = np.random.default_rng(2)
+    parts, whole = [toxicity.negation(), toxicity.reported(), toxicity.targeted(), toxicity.threatened()], toxicity.clause_machine()
+    for _ in range(200):
+        states, state = [0] * 4, 0
+        for x in rng.choice(["insult-", "threat-", "target", "negation", "report", "quote", "end"], 30):
+            y, factor = str(x), 1.0
+            for k, m in enumerate(parts):
+                states[k], y, f = m.arcs[states[k]][y]
+                factor *= f
+            state, out, f = whole.arcs[state][str(x)]
+            assert out == y and f == pytest.approx(factor)
+        assert whole.final[state] == pytest.approx(np.prod([m.final[s] for m, s in zip(parts, states, strict=True)]))
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = as_dict(toxicity.score_documents(docs(spark, ["you idiot, you moron", "a nice day", None]), none))
@@ -171,6 +228,22 @@ def test_pii_spans(spark):
     assert pii.report(docs(spark, [])).count() == 0
 
 
+def test_many_matches_and_clashing_names(spark):
+    many = " ".join(f"user{i}@mail.example.com ssn" if i % 7 else f"+1 555 010 {i:04d}, é" for i in range(3000))
+    frame = docs(spark, [many, many]).selectExpr("*", "'kept' as pii_email", "1 as _row_text")
+    began = time.perf_counter()
+    rows = pii.report(frame).collect()
+    base = ",".join(":".join(map(str, x)) for x in by_hand(many))
+    assert rows[0].spans == rows[1].spans == base
+    assert (rows[0].n_email, rows[0].n_phone) == (2571, 429) and rows[0].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+    out = pii.redact(frame).collect()[0]
+    assert out.pii_email == "kept" and out._row_text == 1 and out.text.count("[EMAIL]") == 2571 and out.text.count("[PHONE]") == 429 and "@" not in out.text
+    assert time.perf_counter() - began < 60
+    with pytest.raises(ValueError, match="pii_email"):
+        pii.find(frame)
+    assert "found_email" in pii.find(frame, prefix="found_").columns
+
+
 def test_redaction(spark):
     texts = ["mail a@b.co now, 1.2.3.4!", "plain", None, "", "+1 2.3.4.5 x"]
     got = as_dict(pii.cleaned(docs(spark, texts, extra=True)))
@@ -213,7 +286,7 @@ def test_neighbours_recall_ties_and_bad_vectors(spark):
     assert neighbours.search(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_neighbours_of_repeated_vectors(spark, monkeypatch):
+def test_neighbours_of_repeated_vectors(spark):
     # an id that is repeated in a block takes one of the k places
     rows, rid = np.array([[1, 0.01], *[[1, 0.0]] * 6, [1, 0.2], [1, 0.3]]), np.array([0, *[1] * 6, 2, 3])
     assert [int(rid[j]) for _, j, _ in neighbours.best_of(rows[:1], rid[:1], rows, rid, 3)] == [1, 2, 3]
@@ -221,7 +294,6 @@ def test_neighbours_of_repeated_vectors(spark, monkeypatch):
     rng = np.random.default_rng(4)
     hot = rng.normal(size=8)
     x = np.concatenate([np.tile(hot, (300, 1)), rng.normal(size=(300, 8))])
-    monkeypatch.setattr(neighbours, "LEAST_ROWS", 1)
     frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     key = neighbours.keys_of(x / np.linalg.norm(x, axis=1)[:, None], 1)[:, 0]
     next_one = min((int(c), i) for i, c in enumerate(key) if c > key[0])[1]
@@ -280,6 +352,40 @@ def test_extract_rows(spark):
     assert extract.extract(pages(spark, [])).count() == 0
 
 
+@given(st.lists(st.integers(0, 3), max_size=40))
+def test_stretches_match_a_search_of_all_windows(weights):
+    n, w = len(weights), extract.WINDOW
+    sums = [sum(weights[max(0, i - w + 1) : i + 1]) for i in range(n + w)]
+    want, i = [], 0
+    while i < len(sums):
+        j = i
+        while j < len(sums) and sums[j]:
+            j += 1
+        if j > i:
+            want.append((i, j - w + 1, max(sums[i:j])))
+        i = max(j, i + 1)
+    assert extract.stretches(weights) == want
+    held = {i for first, end, _ in want for i in range(first, end)}
+    assert all(i in held for i, x in enumerate(weights) if x)
+
+
+def test_window_sums_choose_the_text_of_every_page(monkeypatch):
+    rows = pq.read_table("/root/testdata/sf0.001/pages.parquet").column("html").to_pylist()
+    searched, search = [], extract.stretches
+    monkeypatch.setattr(extract, "stretches", lambda weights: searched.append(weights) or search(weights))
+    texts = [extract.main_text(x) for x in rows]
+    assert len(searched) == len(rows) and all(texts)
+    # marks do no more than weigh: without them the same text is found
+    assert texts == [extract.main_text(re.sub("<(/?)article", r"<\1main", x)) for x in rows]
+
+
+def test_nested_and_unclosed_elements_take_linear_time():
+    began = time.perf_counter()
+    assert len(extract.main_text("<b>x" * 60_000)) == 60_000
+    assert extract.main_text("<p><i>x" * 60_000).count("x") == 60_000 and extract.main_text("<div>x" * 20_000).count("x") == 20_000
+    assert time.perf_counter() - began < 30
+
+
 # ---- decontamination
 
 
@@ -318,6 +424,29 @@ def test_decontamination(spark):
     assert {r.doc_id: r.item_ids for r in decontaminate.flagged(frame, bench).collect()}[3] == [2]
 
 
+def test_matches_agree_with_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = ["red", "blue", "a", "stone", "house", "walks", "tree", "slow"]
+    items = [" ".join(rng.choice(words, n)) for n in (1, 2, 3, 5, 8, 12)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(25)]
+    for k in range(25):  # plant edited items
+        chars = list(items[k % 6])
+        for _ in range(rng.integers(0, 4)):
+            chars[rng.integers(0, len(chars))] = rng.choice(list("abcz "))
+        texts.append(f"{texts[k][:60]} {''.join(chars)} {texts[k][60:]}" + "long tail " * (2000 if k == 3 else 0))
+    got = {(r.doc_id, r.item_id): (r.distance, r.end) for r in decontaminate.matches(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = {}
+    for d, text in enumerate(texts):
+        body = f" {decontaminate.normal(text)} "
+        for i, item in enumerate(items):
+            padded = f" {item} "
+            low = distance_of(padded, body) if len(body) < 2000 else decontaminate.best_end(padded, body)[0]
+            if low <= int(len(item) * decontaminate.RATE):
+                want[d, i] = low
+    assert {k: v[0] for k, v in got.items()} == want
+    assert all(1 <= end <= len(decontaminate.normal(texts[d])) for (d, _), (_, end) in got.items())
+
+
 # ---- sharding
 
 

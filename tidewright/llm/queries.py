@@ -72,4 +72,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q for q in (op1_warc, op2_toxicity, op3_pii, op4_neighbours, op5_extract, op6_decontaminate, op7_sharding, op8_packing, op9_quality, op10_minhash)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+             d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + (((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS BIGINT), 5) AS BIGINT)) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM d""",
+    "op10_minhash": """
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+            FROM documents),
+        sets AS (
+            SELECT doc_id, CASE WHEN len(words) < 2 THEN words
+                   ELSE list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) END AS shingles FROM w),
+        n AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles FROM sets),
+        s AS (SELECT s.doc_id, n_shingles, unnest(shingles) AS shingle FROM sets s JOIN n USING (doc_id)),
+        links AS MATERIALIZED (
+            SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y USING (shingle)
+            WHERE x.doc_id <> y.doc_id AND 100 * least(x.n_shingles, y.n_shingles) >= 80 * greatest(x.n_shingles, y.n_shingles)
+            GROUP BY x.doc_id, y.doc_id, x.n_shingles, y.n_shingles
+            HAVING 100 * count(*) >= 80 * (x.n_shingles + y.n_shingles - count(*))),
+        reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+        least_id AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
+        SELECT n.doc_id, n_shingles, least(n.doc_id, coalesce(m, n.doc_id)) AS component_id, n.doc_id = least(n.doc_id, coalesce(m, n.doc_id)) AS kept
+        FROM n LEFT JOIN least_id ON n.doc_id = a""",
+}
