@@ -2,7 +2,7 @@
 
 A batch's number is the next file of the index, which can be created only once; two writers
 that want the same number are told apart there. A batch may carry a token (a stream's batch
-id); a token that is in the index already is not appended again.
+id); a table's token that is in the index already is not appended again.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ class ChangeLog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.control = spark, Control(spark, root)
         self._known: dict[int, Batch] = {}
+        self._tokens: set[tuple[str, str]] = set()  # (table, token) of the entries up to _read
+        self._read = 0
 
     def head(self) -> int:
         names = self.control.names("log/index")
@@ -46,24 +48,33 @@ class ChangeLog:
         return [self._known[seq] for seq in range(after + 1, upto + 1)]
 
     def append(self, table: str, changes: DataFrame | None, origin: str, token: str | None = None) -> Batch | None:
-        """Writes ``changes`` (None: a widen mark) as the next batch; None if the token is known."""
-        if token is not None and self.has(token):
+        """Writes ``changes`` (None: a widen mark) as the next batch; None if the token is known.
+
+        The token is looked up among all entries before the number that the batch then claims, so
+        of two writers with one token the second finds the first's entry or loses its number.
+        """
+        if token is not None and self.has(table, token, self.head()):
             return None
         path = None
         if changes is not None:
             path = f"{self.control.root}/log/{table}/{uuid.uuid4().hex}"
             changes.write.parquet(path)
         while True:
-            batch = Batch(self.head() + 1, table, origin, path, changes is None, token)
+            head = self.head()
+            if token is not None and self.has(table, token, head):
+                return None
+            batch = Batch(head + 1, table, origin, path, changes is None, token)
             try:
                 self.control.create(f"log/index/{batch.seq:012d}.json", asdict(batch))
                 return batch
             except Conflict:
-                if token is not None and self.has(token):
-                    return None
+                continue
 
-    def has(self, token: str) -> bool:
-        return any(b.token == token for b in self.batches(0))
+    def has(self, table: str, token: str, upto: int) -> bool:
+        """Is the table's token among the entries up to ``upto``? Each entry is read once."""
+        self._tokens.update((b.table, b.token) for b in self.batches(self._read, upto) if b.token is not None)
+        self._read = max(self._read, upto)
+        return (table, token) in self._tokens
 
     def rows(self, batches: list[Batch], table: str, row_schema) -> DataFrame | None:
         """The change rows of one table's batches, in one scan; ``__seq`` numbers the batch."""
