@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .events import Events
 from .operators.images import change_schema, from_descriptors
@@ -13,7 +14,7 @@ from .plans.spec import ViewSpec
 from .policy import AlreadyRefreshing, Config, DataDrift, ReconcileResult, RefreshResult, Scheduler
 from .sources.catalog import Catalog, Table, table_name
 from .sources.changelog import ChangeLog
-from .sources.debezium import to_descriptor, to_descriptors
+from .sources.debezium import holds_change, source_table, to_descriptor, to_descriptors
 from .sources.diff import Outbox, key_images
 from .view import View
 
@@ -30,8 +31,8 @@ class Engine:
 
     # ---- declarations
 
-    def table(self, name: str, rows: DataFrame, row_id: tuple[str, ...] = (), not_null: tuple[str, ...] = ()) -> Table:
-        return self.catalog.register(name, rows, row_id, not_null)
+    def table(self, name: str, rows: DataFrame, row_id: tuple[str, ...] = (), not_null: tuple[str, ...] = (), replay: bool = True) -> Table:
+        return self.catalog.register(name, rows, row_id, not_null, replay)
 
     def view(self, spec: ViewSpec) -> View:
         if spec.name in self.views:
@@ -71,20 +72,31 @@ class Engine:
         return self.ingest(table, [{"operation": operation, **parts}])
 
     def ingest_debezium(self, envelopes: list[dict | None] | DataFrame, table: str | None = None, token: str | None = None) -> int:
-        """Envelopes as maps, or a DataFrame with a ``value`` column of JSON texts (then of one
-        table); how many changes they held (-1: not counted). Tombstones count for nothing."""
+        """Envelopes as maps, or a DataFrame with a ``value`` column of JSON texts; how many changes
+        they held (-1: not counted). Tombstones count for nothing.
+
+        Each envelope goes to the table it names; ``table`` overrides that for maps, and for a
+        DataFrame picks the envelopes of that table and those that name none. One token covers
+        the changes of each table of the call.
+        """
         if isinstance(envelopes, DataFrame):
-            if table is None:
-                raise ValueError("name the table of a DataFrame of envelopes")
-            self.ingest(table, to_descriptors(envelopes, self.catalog.table(table).schema), token)
+            for name in [table] if table else self._tables_of(envelopes):
+                self.ingest(name, to_descriptors(envelopes, self.catalog.table(name).schema, table=name), token)
             return -1
         found: dict[str, list[dict]] = {}
         for e in envelopes:
             if (d := to_descriptor(e, table)) is not None:
-                found.setdefault(d["table"], []).append(d)
-        for name, rows in found.items():
-            self.ingest(name, rows, token)
-        return sum(map(len, found.values()))
+                found.setdefault(table_name(d["table"]), []).append(d)
+        return sum(len(rows) for name, rows in found.items() if self.ingest(name, rows, token))
+
+    def _tables_of(self, envelopes: DataFrame) -> list[str]:
+        """The tables that the envelopes name: registered ones, all others are an error."""
+        named = source_table(F.col("value"))
+        rows = envelopes.select(named.alias("name"), holds_change(F.col("value")).alias("change")).where("change").select("name").distinct()
+        names = [r["name"] for r in rows.limit(len(self.catalog) + 2).collect()]
+        if None in names:
+            raise ValueError("an envelope names no table")
+        return sorted({self.catalog.table(n).name for n in names})
 
     def mark_dirty(self, *tables: str) -> None:
         """Everything that reads the tables must be recomputed."""

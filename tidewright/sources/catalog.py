@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import re
 import threading
+import uuid
 from collections.abc import Callable
+from contextlib import suppress
 from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.images import full_images
+from ..store import Conflict
 from .changelog import ChangeLog
 
 
@@ -101,10 +104,32 @@ class Table:
         kept = self._rows.join(ids, [self._rows[k].eqNullSafe(ids[k]) for k in self.row_id], "left_anti")
         self._rows = kept.unionByName(written.select("after.*"))
 
-    def compact(self, path: str) -> None:
-        """Writes the rows out, so that reads don't merge any more."""
-        self._rows.write.parquet(path)
-        self._rows = self._rows.sparkSession.read.schema(self.schema).parquet(path)
+    def replay(self) -> None:
+        """Brings the rows given at registration up to the log's head: what managed writes brought
+        comes, as often as it was written, and what they removed goes, as often."""
+        control, spark, start = self._log.control, self._rows.sparkSession, 0
+        if bases := control.names(f"tables/{self.name}/bases"):
+            base = control.read(f"tables/{self.name}/bases/{bases[-1]}")
+            self._rows, start = spark.read.schema(self.schema).parquet(base["path"]), base["seq"]
+        own = [b for b in self._log.batches(start) if b.origin == "managed"]
+        changes = self._log.rows(own, self.name, self.schema)
+        if changes is None:
+            return
+        gone = changes.where("before is not null").select("before.*")
+        self._rows = self._rows.unionByName(changes.where("after is not null").select("after.*"))
+        if gone.limit(1).count():
+            self._rows = self._rows.exceptAll(gone.select(*self.schema.fieldNames()))
+
+    def compact(self, path: str | None = None) -> None:
+        """Writes the rows out, so that reads don't merge any more. The next engine that registers
+        the table starts from them, whatever rows it is given, and replays only later writes."""
+        with self._lock:
+            head, rows = self._log.head(), self._rows
+            path = path or f"{self._log.control.root}/tables/{self.name}/data/{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            with suppress(Conflict):  # the same moment was compacted already
+                self._log.control.create(f"tables/{self.name}/bases/{head:012d}.json", {"path": path, "seq": head})
+            self._rows = rows.sparkSession.read.schema(self.schema).parquet(path)
 
 
 class Catalog:
@@ -114,10 +139,15 @@ class Catalog:
         self._log, self._published, self._tables = log, published, {}
         self.lock = threading.RLock()
 
-    def register(self, name: str, rows: DataFrame, row_id: tuple[str, ...] = (), not_null: tuple[str, ...] = ()) -> Table:
+    def register(self, name: str, rows: DataFrame, row_id: tuple[str, ...] = (), not_null: tuple[str, ...] = (), replay: bool = True) -> Table:
+        """``rows``: the content before the first write through the engine; writes that its log
+        holds are replayed on it, unless ``rows`` has them already (``replay=False``)."""
         name = table_name(name)
-        self._tables[name] = Table(name, rows, row_id, not_null, self._log, self._published, self.lock)
-        return self._tables[name]
+        table = Table(name, rows, row_id, not_null, self._log, self._published, self.lock)
+        if replay:
+            table.replay()
+        self._tables[name] = table
+        return table
 
     def table(self, name: str) -> Table:
         try:
@@ -138,5 +168,8 @@ class Catalog:
         with self.lock:
             return self._log.head(), self.pinned()
 
+    def __len__(self) -> int:
+        return len(self._tables)
+
     def __contains__(self, name: str) -> bool:
         return table_name(name) in self._tables

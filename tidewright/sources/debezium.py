@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.images import change_schema
+from .catalog import table_name
 
 # The wire format's operation codes.
 OPERATIONS = {"c": "create", "r": "create", "u": "update", "d": "destroy"}
@@ -40,13 +41,31 @@ def to_descriptor(envelope: dict | None, table: str | None = None) -> dict | Non
     return out
 
 
+def source_table(value: Column) -> Column:
+    """The table that a JSON envelope names; null if none."""
+    return F.coalesce(F.get_json_object(value, "$.payload.source.table"), F.get_json_object(value, "$.source.table"))
+
+
+def holds_change(value: Column) -> Column:
+    """Is the JSON text an envelope with a change? A text that isn't JSON raises when it is read."""
+    body = F.trim(value)
+    known = body.isNull() | F.get_json_object(body, "$").isNotNull() | (body == "null") | (body == "")
+    whole = F.when(known, body).otherwise(F.raise_error(F.concat(F.lit("malformed envelope: "), F.substring(body, 1, 200))))
+    parts = [F.get_json_object(whole, f"${at}.{f}") for at in ("", ".payload") for f in ("op", "before", "after")]
+    return value.isNotNull() & F.coalesce(*parts).isNotNull()
+
+
 def to_descriptors(events: DataFrame, row: T.StructType, column: str = "value", table: str | None = None) -> DataFrame:
     """Change rows of envelopes given as JSON texts; tombstones are left out.
 
-    Envelopes of other tables than ``table`` (where the envelope names one and ``table`` is
-    given as their filter) are not told apart here: filter by ``source.table`` first, or give
-    one topic per table. Unknown operations raise when the rows are read.
+    With ``table``, envelopes that name another table are left out too. Texts that aren't JSON
+    and unknown operations raise when the rows are read.
     """
+    events = events.where(holds_change(F.col(column)))
+    if table is not None:
+        named = source_table(F.col(column))
+        key = F.lower(F.regexp_replace(F.regexp_replace(named, "^:+", ""), "(?<=[a-z0-9])(?=[A-Z])", "_"))  # table_name
+        events = events.where(named.isNull() | (key == table_name(table)))
     side = T.MapType(T.StringType(), T.StringType())
     body = T.StructType([
         T.StructField("op", T.StringType()), T.StructField("before", T.StringType()), T.StructField("after", T.StringType()),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -40,34 +41,39 @@ class Outbox:
     """A durable queue of captured changes, one folder per capture, relayed at least once.
 
     ``drain`` hands captures over in order and removes each only after its relay succeeded. A
-    capture whose relay fails is moved to quarantine and the rest goes on.
+    capture whose relay fails is moved to quarantine, with its error, and the rest goes on; the
+    next drain tries it again, before what is queued. Names are never used twice.
     """
 
     def __init__(self, spark, root: str):
         self.spark, self.root, self.control = spark, root, Control(spark, root)
 
-    def names(self) -> list[str]:
-        return self.control.names("outbox/queue")
+    def names(self, folder: str = "queue") -> list[str]:
+        return self.control.names(f"outbox/{folder}")
 
     def capture(self, table: str, changes: DataFrame) -> None:
-        n = int(self.names()[-1].split("-")[0]) + 1 if self.names() else 1
-        path = f"{self.root}/outbox/data/{n:012d}-{table}"
-        changes.write.mode("overwrite").parquet(path)
-        self.control.create(f"outbox/queue/{n:012d}-{table}.json", {"table": table, "path": path})
+        waiting = [*self.names(), *self.names("quarantine")]
+        n = max((int(x.split("-")[0]) for x in waiting), default=0) + 1
+        name = f"{n:012d}-{table}-{uuid.uuid4().hex[:12]}"
+        path = f"{self.root}/outbox/data/{name}"
+        changes.write.parquet(path)
+        self.control.create(f"outbox/queue/{name}.json", {"table": table, "path": path})
 
     def drain(self, relay: Callable[[str, DataFrame], None], schema_of: Callable[[str], T.StructType], limit: int | None = None) -> int:
         """Relays captures, oldest first, at most ``limit``; how many were relayed."""
         done = 0
-        for name in self.names():
+        for place, name in sorted((("quarantine", n) for n in self.names("quarantine")), key=lambda x: x[1]) + [("queue", n) for n in self.names()]:
             if limit is not None and done >= limit:
                 break
-            entry = self.control.read(f"outbox/queue/{name}")
+            entry = self.control.read(f"outbox/{place}/{name}")
             try:
                 relay(entry["table"], self.spark.read.schema(change_schema(schema_of(entry["table"]))).parquet(entry["path"]))
             except Exception as e:
+                if place == "quarantine":
+                    continue
                 self.control.create(f"outbox/quarantine/{name}", entry | {"error": str(e)[:500]})
             else:
                 done += 1
                 self.control.remove(f"outbox/data/{entry['path'].rsplit('/', 1)[1]}")
-            self.control.remove(f"outbox/queue/{name}")
+            self.control.remove(f"outbox/{place}/{name}")
         return done
