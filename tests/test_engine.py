@@ -332,6 +332,126 @@ def test_state_survives_a_restart(spark, setup):
     assert again.view(totals()).is_warm() and again.views["totals"].count() == 3
 
 
+def test_writes_survive_a_restart(spark, setup):
+    e, t = setup
+    v = e.view(totals())
+    v.rebuild(True)
+    t.insert(items(spark, [(5, "toys", 1), (6, "toys", 1), (6, "toys", 1)]))
+    t.update("id = 5", {"amount": "4"})
+    t.delete("category = 'games'")
+    want = rows(t.rows())
+    again = Engine(spark, e.config)
+    t2 = again.table("items", items(spark), ("id",), ("category", "amount"))
+    assert rows(t2.rows()) == want
+    w = again.view(totals())
+    assert w.is_dirty() and w.refresh().path == "delta" and w.verify("full").ok
+    t2.compact()
+    t2.insert(items(spark, [(9, "new", 1)]))
+    third = Engine(spark, e.config)
+    t3 = third.table("items", items(spark, []), ("id",))  # the compacted rows count, not the given ones
+    assert rows(t3.rows()) == rows(t2.rows())
+    w = third.view(totals())
+    w.rebuild(True)
+    assert w.lookup(category="new").n == 1 and w.verify("full").ok
+    assert rows(Engine(spark, e.config).table("items", items(spark), replay=False).rows()) == rows(items(spark))
+
+
+def test_repair_counts_a_write_before_it_once(spark, setup):
+    e, t = setup
+    v = e.view(totals())
+    v.rebuild(True)
+    m = v.manifest
+    broken = v.store.read(m).where("category <> 'games' or category is null").unionByName(v.store.read(m).where("category = 'games'").withColumn("n", F.lit(7).cast("long")))
+    v.store.commit(v.manifest, **v.store.write(m, broken))
+    verify = v.verify
+
+    def verify_then_write(*args, **options):
+        out = verify(*args, **options)
+        assert out.mismatched == 1
+        t.insert(items(spark, [(5, "games", 2), (6, "books", 3)]))
+        return out
+
+    v.verify = verify_then_write
+    assert v.reconcile().repaired == 1
+    v.verify = verify
+    v.refresh()
+    assert v.verify("full").ok and {r.category: (r.n, r.total) for r in v.df().collect()}["games"] == (2, 22)
+
+
+def test_floating_sums_go_by_scope_and_lose_nan(spark, tmp_path):
+    e = make(spark, tmp_path)
+    t = e.table("f", spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 2.0)], "k string, x double"))
+    v = e.view(ViewSpec("v", Relation("f"), ("k",), (sum_of("x", "total"), avg_of("x", "mean")), strategy="manual"))
+    w = e.view(ViewSpec("w", Relation("f"), ("k",), (count_of("x", "n"),), strategy="manual"))
+    v.rebuild(True), w.rebuild(True)
+    t.delete("isnan(x)")
+    assert v.refresh().path == "scoped" and w.refresh().path == "delta"
+    assert rows(v.df()) == [("a", 1.0, 1.0), ("b", 2.0, 2.0)] and v.verify("full").ok
+
+
+def test_cold_keys_of_every_type(spark, tmp_path):
+    e = make(spark, tmp_path)
+    data = spark.sql("select date'2020-01-02' d, timestamp'2020-01-02 03:04:05.678' t, cast(1.50 as decimal(9,2)) c, 1 x union all select date'2021-01-01', timestamp'2021-01-01 00:00:00', 2.25, 2")
+    e.table("typed", data)
+    key = data.where("x = 1").first()
+    for name in ("d", "t", "c"):
+        v = e.view(ViewSpec(f"by_{name}", Relation("typed"), (name,), (sum_of("x", "total"),), strategy="manual", warm_keys=({name: key[name]},)))
+        assert [r.total for r in v.where(**{name: key[name]}).collect()] == [1]
+        assert v.refresh().path == "scoped" and v.manifest.row_count == 1
+        assert [r.total for r in v.where(**{name: key[name]}).collect()] == [1]
+        assert v.warm_up().path in ("scoped", "noop")
+
+
+def test_composite_scopes_outer_joins_and_narrowed_sources(spark, tmp_path):
+    e = make(spark, tmp_path)
+    t = e.table("items", items(spark), ("id",))
+    e.table("names", spark.createDataFrame([("books", "B"), ("games", None)], "code string, label string"))
+    pair = e.view(ViewSpec("pair", Relation("items"), ("category", "amount"), (max_of("id", "top"),), strategy="manual"))
+    outer = e.view(ViewSpec("outer_join", Relation("items", (Join("names", "category = code", how="left"),)), ("category", "label"), (max_of("amount", "top"), count_all("n")), strategy="manual"))
+    coarse = e.view(ViewSpec("coarse", Relation("items"), ("category", "amount"), (max_of("id", "top"),), maintenance_keys=("category",), strategy="manual"))
+    for v in (pair, outer, coarse):
+        v.rebuild(True)
+    t.insert(items(spark, [(7, "books", 10), (8, "toys", None), (9, None, 7)]))
+    t.delete("id = 2")
+    for v in (pair, outer, coarse):
+        assert v.refresh().path in ("scoped", "widen") and v.verify("full").ok, v.spec.name
+    assert pair.refresh().path == "noop" and pair.verify("full", sample=2).checked == 2
+    assert rows(pair.df()) == [("books", 10, 7), ("games", 20, 3), ("toys", None, 8), (None, 7, 9)]
+
+
+def test_vacuum_spares_a_running_refresh(spark, setup):
+    e, t = setup
+    v = e.view(totals())
+    v.rebuild(True)
+    write = v.store.write
+
+    def write_and_vacuum(*args):
+        out = write(*args)
+        assert v.store.vacuum() == 0
+        return out
+
+    v.store.write = write_and_vacuum
+    v.rebuild(True)
+    assert len(rows(v.df())) == 3
+    assert v.store.vacuum() == 0 and len(rows(v.df())) == 3  # the first version's manifest is still kept
+
+
+def test_two_writers_log_a_token_once(spark, tmp_path):
+    e, other = make(spark, tmp_path), make(spark, tmp_path)
+    for x in (e, other):
+        x.table("items", items(spark))
+    create, late = e.log.control.create, []
+
+    def create_after_the_other(name, value):
+        if not late:
+            late.append(other.ingest("items", [{"operation": "create", "after": {"id": 1}}], "t"))
+        return create(name, value)
+
+    e.log.control.create = create_after_the_other
+    assert not e.ingest("items", [{"operation": "create", "after": {"id": 1}}], "t") and late == [True]
+    assert [b.token for b in e.log.batches(0)] == ["t"]
+
+
 def test_only_one_of_two_writers_commits(spark, tmp_path):
     store = ViewStore(spark, f"file://{tmp_path}", "x", ("k",), 2)
     m = store.current()

@@ -70,6 +70,68 @@ def test_outbox_relays_and_quarantines(spark, tmp_path):
     assert e.drain_outbox() == 0
 
 
+def test_failed_captures_are_tried_again_and_never_overwritten(spark, tmp_path):
+    e, v = engine(spark, tmp_path, [(1, "a", 1)])
+    rows = [key_images(spark.createDataFrame([], ITEMS), spark.createDataFrame([(k, "a", k)], ITEMS), ("id",), ("id", "category")) for k in (1, 2)]
+    relayed, broken = [], [True]
+
+    def relay(table, changes):
+        if broken[0]:
+            raise OSError("down")
+        relayed.append([r.after.id for r in changes.collect()])
+
+    schema = lambda table: e.catalog.table(table).schema
+    for r in rows:  # two captures fail one after the other, with the queue empty in between
+        e.outbox.capture("items", r)
+        assert e.outbox.drain(relay, schema) == 0
+    assert e.outbox.names() == [] and len(e.outbox.names("quarantine")) == 2
+    broken[0] = False
+    assert e.outbox.drain(relay, schema) == 2 and relayed == [[1], [2]] and e.outbox.names("quarantine") == []
+
+
+def test_debezium_topics_of_several_tables(spark, tmp_path):
+    e, v = engine(spark, tmp_path, [(1, "a", 1)])
+    e.table("other_items", spark.createDataFrame([], ITEMS), ("id",))
+    envelopes = [{"op": "c", "after": {"id": k, "category": "a"}, "source": {"table": t}} for k, t in ((1, "items"), (2, "OtherItems"), (3, "items"))]
+    assert e.ingest_debezium(envelopes, token="t1") == 3 and [b.table for b in e.log.batches(0)] == ["items", "other_items"]
+    assert e.ingest_debezium(envelopes, token="t1") == 0 and e.log.head() == 2
+    texts = lambda *x: spark.createDataFrame([(y,) for y in x], "value string")
+    assert e.ingest_debezium(texts(*map(json.dumps, envelopes), "null", None, '{"payload": null}'), token="t2") == -1
+    counts = {b.table: e.log.rows([b], b.table, e.catalog.table(b.table).schema).count() for b in e.log.batches(2)}
+    assert counts == {"items": 2, "other_items": 1}
+    with pytest.raises(Exception, match="malformed envelope"):
+        e.ingest_debezium(texts('{"op": "c", '), "items")
+    with pytest.raises(KeyError):
+        e.ingest_debezium(texts(json.dumps(envelopes[0] | {"source": {"table": "nowhere"}})))
+    with pytest.raises(ValueError, match="names no table"):
+        e.ingest_debezium(texts('{"op": "c", "after": {"id": 1}}'))
+
+
+def test_control_files_on_other_file_systems(spark, tmp_path):
+    from tidewright.store import Conflict, Control
+
+    c = Control(spark, f"file://{tmp_path}/far")
+    c.local = None  # by Hadoop's interface, as on a remote path
+    c.create("a/b/1.json", {"x": 1})
+    with pytest.raises(Conflict):
+        c.create("a/b/1.json", {"x": 2})
+    assert c.read("a/b/1.json") == {"x": 1} and c.names("a/b") == ["1.json"] and c.names("none") == []
+    (tmp_path / "far" / "file").write_text("")
+    with pytest.raises(Exception) as e:
+        c.create("file/1.json", {})
+    assert not isinstance(e.value, Conflict)
+
+
+def test_inserts_survive_a_restart(spark, tmp_path):
+    e, v = engine(spark, tmp_path, [(1, "a", 1)], feed="managed")
+    spark.createDataFrame([(2, "a", 5), (3, "b", 6)], ITEMS).write.parquet(f"{tmp_path}/in")
+    feed = spark.readStream.schema(ITEMS).parquet(f"{tmp_path}/in")
+    stream_inserts(e, "items", feed, f"{tmp_path}/check").awaitTermination()
+    again, w = engine(spark, tmp_path, [(1, "a", 1)], feed="managed")  # rebuilds
+    stream_inserts(again, "items", feed, f"{tmp_path}/check").awaitTermination()
+    assert sorted(tuple(r) for r in w.df().collect()) == [("a", 2, 5), ("b", 1, 6)]
+
+
 def test_streams_apply_each_batch_once(spark, tmp_path):
     e, v = engine(spark, tmp_path, [(1, "a", 1)], feed="managed")
     new = spark.createDataFrame([(2, "a", 5), (3, "b", 6)], ITEMS)

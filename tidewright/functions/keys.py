@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import json
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -30,3 +33,30 @@ def key_filter(keys: tuple[str, ...], tuples: list[tuple]) -> Column:
     else:
         parts = [reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(keys, t, strict=True))) for t in tuples]
     return reduce(lambda a, b: a | b, parts)
+
+
+def key_text(key: tuple) -> str:
+    """A key tuple as a JSON text; values that JSON has no form for keep their type by name."""
+
+    def typed(x):
+        if isinstance(x, datetime.datetime):
+            return {"timestamp": x.isoformat()}
+        if isinstance(x, datetime.date):
+            return {"date": x.isoformat()}
+        if isinstance(x, Decimal):
+            return {"decimal": str(x)}
+        if isinstance(x, (bytes, bytearray)):
+            return {"binary": bytes(x).hex()}
+        raise TypeError(f"{x!r} can't be a group key")
+
+    return json.dumps(list(key), default=typed)
+
+
+def key_of(text: str) -> tuple:
+    kinds = {"timestamp": datetime.datetime.fromisoformat, "date": datetime.date.fromisoformat, "decimal": Decimal, "binary": bytes.fromhex}
+
+    def plain(x: dict):
+        ((kind, value),) = x.items()
+        return kinds[kind](value)
+
+    return tuple(json.loads(text, object_hook=plain))

@@ -86,13 +86,13 @@ def image_keys(changes: DataFrame, keys: dict[str, str]) -> tuple[DataFrame, Dat
     name; a null key is a key.
     """
     row = changes.schema["before"].dataType
-    needed = [c for c in row.fieldNames() if any(_mentions(x, c) for x in keys.values())]
+    needed = [c for c in row.fieldNames() if any(mentions(x, c) for x in keys.values())]
     both = sides(changes)
     known = both.where(~lacks(needed)).select("image.*", "source_ts").select(*(F.expr(x).alias(k) for k, x in keys.items()), "source_ts")
     return known, both.where(lacks(needed))
 
 
-def _mentions(expression: str, column: str) -> bool:
+def mentions(expression: str, column: str) -> bool:
     import re
 
     return re.search(rf"(?<![A-Za-z0-9_]){re.escape(column)}(?![A-Za-z0-9_])", expression) is not None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import same_keys
 from ..plans.compile import live_state
 from ..plans.spec import ViewSpec
-from .images import flat_rows, image_keys, lacks, sides
+from .images import flat_rows, image_keys, lacks, mentions, sides
 
 Read = Callable[[str], DataFrame]
 
@@ -79,7 +79,7 @@ def affected(spec: ViewSpec, table: str, changes: dict[str, DataFrame], read: Re
 def used(spec: ViewSpec, table: str, column: str) -> bool:
     """Does the relation's join, predicate or key mention the column?"""
     texts = [*(j.on for j in spec.relation.joins), spec.relation.where or "", *spec.relation.columns.values(), *spec.scope]
-    return any(column in t for t in texts)
+    return any(mentions(t, column) for t in texts)
 
 
 def recompute(spec: ViewSpec, read: Read, keys: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ class Config:
     default_cold_read: str = "read_through"
     default_feed: str = "managed"
     max_tracked_keys: int = 1000
-    resident_rows: int = 10_000  # stored views up to this size are answered from the driver
+    resident_rows: int = 0  # stored views up to this size are answered from a copy in the driver
     staleness_budget: float = 0.0  # seconds by which a replica may lag
     lease_seconds: float = 3600.0
     pool: str = "views"

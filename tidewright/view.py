@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions.keys import key_filter, same_keys
+from .functions.keys import key_filter, key_of, key_text, same_keys
 from .operators import delta, scoped, verify
 from .plans.compile import create_table_ddl, live, live_state, schema_drift, shown
 from .plans.spec import ViewSpec
@@ -123,18 +123,19 @@ class View:
         written = self.store.write(m, live_state(self.spec, read))
         return "rebuild", written | {"warm": True, "applied_seq": head, "fresh": None, "pending": (), "forced": False, "epoch": m.epoch + 1}, None
 
-    def _maintain(self, m: Manifest):
+    def _maintain(self, m: Manifest, broken: list[tuple] = ()):
+        """Applies the log up to its head, and recomputes the keys in ``broken`` with it."""
         spec, log = self.spec, self.engine.log
         head, read = self.engine.catalog.snapshot()
         todo = [b for b in log.batches(m.applied_seq, head) if b.table in spec.depends_on and (b.widen or b.origin == spec.feed)]
-        asked = [tuple(json.loads(k)) for k in m.pending]
+        asked = [*dict.fromkeys([*map(key_of, m.pending), *broken])]
         if not todo and not asked and not m.forced:
             return ("noop" if m.warm or m.refreshed_at else "skipped"), {"applied_seq": head}, None
         if not spec.grouped and spec.mode != "full" and not m.forced:
             return "skipped", {}, None  # only a rebuild can bring it up to date
         changes = {t: rows for t in spec.depends_on if (rows := log.rows(todo, t, self.engine.catalog.table(t).schema)) is not None}
         widen = m.forced or any(b.widen for b in todo) or spec.mode == "full" and bool(todo)
-        if not widen and m.warm and spec.by_delta and spec.feed == "managed":
+        if not widen and m.warm and not asked and spec.feed == "managed" and self.by_delta():
             return self._by_delta(m, changes, head)
         keys = None
         if not widen:
@@ -162,6 +163,15 @@ class View:
         self.engine.events.emit("maintenance", lambda: {"view": spec.name, "path": "scoped", "keys": n})
         return "scoped", new, n
 
+    def by_delta(self) -> bool:
+        """Can signed changes keep the view exactly? Sums and averages of floating numbers can't:
+        a NaN never leaves a sum, and rounding adds up."""
+        if not self.spec.by_delta:
+            return False
+        summed = [a.arg for a in self.spec.aggs if a.kind in ("sum", "avg")]
+        shape = replace(self.spec.relation, where=None).build(self.engine.catalog.read)
+        return not any(isinstance(shape.select(F.expr(x)).schema[0].dataType, (T.FloatType, T.DoubleType)) for x in summed)
+
     def _by_delta(self, m: Manifest, changes: dict[str, DataFrame], head: int):
         spec = self.spec
         summed = delta.build(spec, changes[spec.relation.table])
@@ -270,7 +280,7 @@ class View:
         m = self.manifest
         if m.warm:
             self._read_event("cache")
-            return self.resident(m) if m.row_count <= self.engine.config.resident_rows else self.stored(m)
+            return self.resident(m) if 0 < m.row_count <= self.engine.config.resident_rows else self.stored(m)
         how = self.spec.cold_read or self.engine.config.default_cold_read
         if how == "raise":
             raise NotMaterialized(f"view {self.spec.name!r} isn't built")
@@ -299,7 +309,7 @@ class View:
                 self._read_event("cache")
                 return self.stored(m).where(key_filter(self.spec.scope, tuples))
             if len(tuples) <= self.engine.config.max_tracked_keys:
-                texts = [json.dumps(t) for t in tuples]
+                texts = [key_text(t) for t in tuples]
                 self.store.update(lambda x: {"pending": x.pending + tuple(t for t in texts if t not in x.pending)})
                 self.engine.scheduler.schedule(self.spec.name, self.spec.strategy, self.debounce)
             self._read_event("source")
@@ -377,7 +387,7 @@ class View:
             tuples = self.keyed(conditions)
             if tuples is None:
                 raise ValueError(f"view {self.spec.name!r}: warm keys must give every group key")
-            texts += [json.dumps(t) for t in tuples]
+            texts += [key_text(t) for t in tuples]
         self.store.update(lambda x: {"pending": x.pending + tuple(t for t in dict.fromkeys(texts) if t not in x.pending)})
         return self.refresh()
 
@@ -447,10 +457,8 @@ class View:
         return out
 
     def _repair(self, m: Manifest, keys: DataFrame, n: int):
+        """Recomputes the keys that differ together with whatever the log holds by now, so that
+        data and log position stay at one moment."""
         if n > self.engine.config.max_tracked_keys:
             return self._rebuild(m)
-        frame = self._key_frame([tuple(r) for r in keys.collect()])
-        touched = sorted(set(self.store.buckets_of(frame)))
-        kept = scoped.without(self.store.read(m, touched), frame, self.spec.scope)
-        fresh_rows = scoped.recompute(self.spec, self.engine.catalog.pinned(), frame)
-        return "scoped", self.store.write(m, kept.unionByName(fresh_rows.select(*kept.columns)), touched), n
+        return self._maintain(m, [tuple(r) for r in keys.collect()])
