@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 CHOSEN = [
     "agg_avg", "agg_multi_key", "agg_null_group", "distinct_lookup", "having_filter", "join_fanout_distinct", "self_join_theta", "scoped_having", "scoped_dimension_move", "widen_cap",
     "delta_filtered_view", "delta_random_mix", "delta_distinct", "cold_populated_partition", "cdc_debezium_batch", "cdc_watermark_suppression", "outbox_snapshot_diff", "verify_checksum",
-    "reconcile_repairs", "stream_events_by_type",
+    "reconcile_repairs", "stream_events_by_type", "reconcile_counts_writes_once", "restart_replays_writes", "outer_join_kept", "coarse_dirty_widens",
 ]
 
 
