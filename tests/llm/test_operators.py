@@ -615,6 +615,12 @@ def test_near_duplicates_of_awkward_tables(spark):
     assert stay.count() == 3
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(1, "x y", 5, 1), (1, "x y", 5, 2), (2, "x y", 5, 3), (3, "p q r", 5, 4)]
+    stay = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _n int, _keep int"), 2)
+    assert stay.columns == ["doc_id", "text", "_n", "_keep"] and sorted(map(tuple, stay.collect())) == [rows[0], rows[3]]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     same = []

@@ -420,10 +420,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the rows whose document isn't its group's smallest; of rows that
     repeat a doc_id one stays."""
-    keep = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_keep")).distinct()
+    own = free_name(docs, "_keep")
+    keep = near_duplicates(docs, size, percent).where("kept and doc_id is not null").select(F.col("doc_id").alias(own)).distinct()
     repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    stay = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(docs.where("doc_id is null"))
+    stay = docs.join(keep, F.col("doc_id") == F.col(own), "left_semi").unionByName(docs.where("doc_id is null"))
     if not repeated.limit(1).count():
         return stay
-    order = Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in docs.columns))
-    return stay.withColumn("_n", F.row_number().over(order)).where("_n = 1 or doc_id is null").drop("_n")
+    number = free_name(docs, "_n")
+    order = Window.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns))
+    return stay.withColumn(number, F.row_number().over(order)).where((F.col(number) == 1) | F.col("doc_id").isNull()).drop(number)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns of ``docs``."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
