@@ -89,7 +89,7 @@ def test_truncated_archives_are_refused(tmp_path):
     assert warc.normalise_file(f"file://{tmp_path}/none.warc.gz", f"file://{tmp_path}/none-out.warc.gz")["records"] == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op10_minhash"])
+@pytest.mark.parametrize("name", ["op1_warc", "op3_pii", "op10_minhash"])
 def test_queries_match_their_sql(spark, name):
     con = duckdb.connect()
     for t in ("pages", "documents"):

@@ -82,6 +82,39 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> first_id THEN first_id END AS refers_to
         FROM d""",
+    "op3_pii": """
+        WITH kinds(ord, kind, pattern, seen_from, seen_as) AS (VALUES
+            (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', '', ''),
+            (2, 'ip', '[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+', '', ''),
+            (3, 'card', '[0-9](?:[ -]?[0-9])+', '', ''),
+            (4, 'phone', '[+][0-9][ ().0-9-]+[0-9]', '', ''),
+            -- characters are replaced one by one so that a word boundary stands for the look-arounds
+            (5, 'iban', '\\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\\b', '_', '~'),
+            (6, 'ssn', '\\b[0-9]{3}_[0-9]{2}_[0-9]{4}\\b', '-_ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', '_' || repeat('~', 53))),
+        texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS body FROM documents),
+        seen AS (SELECT r, body, ord, kind, pattern, CASE WHEN seen_from = '' THEN body ELSE translate(body, seen_from, seen_as) END AS seen FROM texts, kinds),
+        cut AS (SELECT r, body, ord, kind, regexp_extract_all(seen, pattern) AS hits, string_split_regex(seen, pattern) AS gaps FROM seen),
+        pieces AS (SELECT r, body, ord, kind, unnest(range(1, len(hits) + 1)) AS i, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM cut WHERE len(hits) > 0),
+        ends AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, ord ORDER BY i) AS stop FROM pieces),
+        spans AS (
+            SELECT r, ord, kind, CAST(stop - length(hit) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, substr(body, CAST(stop - length(hit) + 1 AS BIGINT), length(hit)) AS hit,
+                   regexp_replace(hit, '[^0-9]', '', 'g') AS digits,
+                   translate(substr(body, CAST(greatest(stop - length(hit) - 40, 0) + 1 AS BIGINT), CAST(least(stop - length(hit), 40) AS BIGINT)) || chr(10) || substr(body, CAST(stop + 1 AS BIGINT), 40),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS near
+            FROM ends),
+        good AS (
+            SELECT r, ord, start, kind || ':' || start || ':' || stop AS span FROM spans WHERE CASE kind
+                WHEN 'email' THEN true
+                WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INT) > 255)) = 0
+                WHEN 'card' THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j:
+                    CAST(substr(digits, length(digits) - j, 1) AS INT) * (1 + j % 2) - CASE WHEN j % 2 = 1 AND substr(digits, length(digits) - j, 1) > '4' THEN 9 ELSE 0 END)) % 10 = 0
+                WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+                WHEN 'iban' THEN list_reduce(list_transform(string_split(substr(replace(hit, ' ', ''), 5) || left(hit, 4), ''), lambda c: CAST(instr('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', c) - 1 AS BIGINT)),
+                    lambda a, c: (a * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1
+                ELSE NOT regexp_matches(hit, '^(?:000|666|9)|-00-|-0000$') AND regexp_matches(near, 'ssn|social|security') END)
+        SELECT doc_id, count(*) FILTER (ord = 1) AS n_email, count(*) FILTER (ord = 2) AS n_ip, count(*) FILTER (ord = 3) AS n_card, count(*) FILTER (ord = 4) AS n_phone,
+               sha256(coalesce(string_agg(span, ',' ORDER BY ord, start) FILTER (ord <= 4), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY ord, start), '') AS spans
+        FROM texts LEFT JOIN good USING (r) GROUP BY r, doc_id""",
     "op10_minhash": """
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
