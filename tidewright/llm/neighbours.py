@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,28 +64,36 @@ def keys_of(unit: np.ndarray, orderings: int) -> np.ndarray:
     return out
 
 
+def matrix(column, dim: int) -> np.ndarray:
+    """A column of lists of ``dim`` numbers each as an array (rows, dim) of doubles."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(-1, dim)
+
+
+def lists(x: np.ndarray) -> pa.ListArray:
+    """The rows of an array as a column of lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
 def indexed(vectors: DataFrame, orderings: int, vec: str) -> DataFrame:
     """(vec_id, v, keys) of the vectors that take part."""
 
     def run(batches):
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = [i for i, v in enumerate(rows) if v and ids[i] is not None and all(c is not None for c in v)]
-            for k in range(0, len(good), 1024):
-                by_dim: dict[int, list[int]] = {}
-                for i in good[k : k + 1024]:
-                    by_dim.setdefault(len(rows[i]), []).append(i)
-                for dim, part in by_dim.items():
-                    x = np.array([rows[i] for i in part], dtype=np.float64)
+            ids, rows = batch.column(0), batch.column(1)
+            lengths = pc.fill_null(pc.if_else(pc.is_valid(ids), pc.list_value_length(rows), 0), 0).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[lengths > 0]):
+                at = np.flatnonzero(lengths == dim)
+                for k in range(0, len(at), 1024):
+                    part = pa.array(at[k : k + 1024])
+                    x, part_ids = matrix(rows.take(part), int(dim)), ids.take(part).to_numpy(zero_copy_only=False).astype(np.int64)
                     top = np.abs(x).max(axis=1)
-                    ok = np.isfinite(top) & (top > 0)
-                    x, part = x[ok], [i for i, t in zip(part, ok, strict=True) if t]
+                    ok = np.isfinite(top) & (top > 0)  # a null component reads as NaN
+                    x, part_ids = x[ok], part_ids[ok]
                     unit = x / top[ok][:, None]
                     unit /= np.linalg.norm(unit, axis=1)[:, None]
                     keys = keys_of(unit, orderings)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in part], pa.int64()), pa.array(list(x), pa.list_(pa.float64())), pa.array([dim] * len(part), pa.int32()), pa.array(list(keys), pa.list_(pa.int64()))], ["vec_id", "v", "dim", "keys"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(part_ids), lists(x), pa.array(np.full(len(x), dim, np.int32)), lists(keys)], ["vec_id", "v", "dim", "keys"])
 
     return vectors.select("vec_id", F.col(vec)).mapInArrow(run, "vec_id bigint, v array<double>, dim int, keys array<bigint>")
 
@@ -150,8 +159,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, vec: str = "embed
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
         if left.num_rows and right.num_rows:
-            q, c = (np.array(t.column("v").to_pylist(), dtype=np.float64) for t in (left, right))
-            qid, cid = (np.array(t.column("vec_id").to_pylist(), dtype=np.int64) for t in (left, right))
+            dim = right.column("dim")[0].as_py()
+            q, c = (matrix(t.column("v"), dim) for t in (left, right))
+            qid, cid = (t.column("vec_id").to_numpy() for t in (left, right))
             for i, j, s in best_of(q, qid, c, cid, k):
                 out[0].append(int(qid[i])), out[1].append(int(cid[j])), out[2].append(float(s))
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
