@@ -301,6 +301,20 @@ def test_neighbours_of_repeated_vectors(spark):
     assert near.where("vec_id < 300").count() == 300
 
 
+def test_small_tasks_find_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile(rng.normal(size=8), (120, 1)), rng.normal(size=(280, 8))])
+    frame = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def found():
+        return sorted(map(tuple, neighbours.search(frame, F.col("vec_id") % 3 == 0, orderings=2, blocks=8, reach=2).collect()))
+
+    want = found()
+    monkeypatch.setattr(neighbours, "TASK_ROWS", 30)
+    monkeypatch.setattr(neighbours, "TASK_QUERIES", 7)
+    assert found() == want and len(want) == 134 * 5
+
+
 def test_hilbert_curve_visits_every_cell_once_by_single_steps():
     for d, bits in ((2, 4), (3, 3)):
         side = 1 << bits

@@ -4,7 +4,8 @@ Every ordering projects the unit vectors on a few random directions, shifts them
 them along a Hilbert curve. The keys are range-partitioned into blocks of near equal counts; a
 query is compared with the blocks around its own in every ordering. Blocks that hold far more
 rows than the others (many equal vectors) are dealt out by id, so a task stays small and no
-row is left out. Candidates are reranked by the exact cosine in double precision.
+row is left out; the queries that meet a block are dealt out in the same way. Candidates are
+reranked by the exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .common import Scratch
 ORDERINGS, DIRECTIONS, BITS = 5, 4, 10
 #: Blocks of an ordering, and how many on each side of its own a query is compared with.
 BLOCKS, REACH = 48, 9
-#: Rows of a block that are handled together.
-TASK_ROWS = 8192
+#: Rows of a block, and queries that meet it, that are handled together.
+TASK_ROWS, TASK_QUERIES = 8192, 4096
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -152,9 +153,18 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, vec: str = "embed
     placed = drawn.join(F.broadcast(numbers), ["dim", "ordering", "drawn"]).drop("drawn")
     sizes = placed.groupBy("dim", "ordering", "block").agg(F.ceil(F.count(F.lit(1)) / TASK_ROWS).cast("int").alias("parts"))
     place = ["dim", "ordering", "block"]
-    rows = placed.join(F.broadcast(sizes), place).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-    met = placed.where(is_query).withColumn("block", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))))
-    met = met.join(F.broadcast(sizes), place).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def meeting(frame: DataFrame) -> DataFrame:
+        """``frame`` once for every block in reach."""
+        return frame.withColumn("block", F.explode(F.sequence(F.greatest(F.col("block") - reach, F.lit(0)), F.least(F.col("block") + reach, F.lit(blocks - 1)))))
+
+    queries = meeting(placed.where(is_query).groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    heaps = queries.groupBy(*place).agg(F.ceil(F.sum("n") / TASK_QUERIES).cast("int").alias("heaps"))
+    cells = sizes.join(F.broadcast(heaps), place)  # a row per block that queries meet
+    dealt = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = placed.join(F.broadcast(cells), place).withColumn("part", dealt("parts", 0)).withColumn("heap", every("heaps"))
+    met = meeting(placed.where(is_query)).join(F.broadcast(cells), place).withColumn("heap", dealt("heaps", 1)).withColumn("part", every("parts"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out = ([], [], [])
@@ -166,7 +176,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 5, vec: str = "embed
                 out[0].append(int(qid[i])), out[1].append(int(cid[j])), out[2].append(float(s))
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
-    at = [*place, "part"]
+    at = [*place, "part", "heap"]
     columns = [*at, "vec_id", "v"]
     asked, here = met.select(*columns).toDF(*columns), rows.select(*columns).toDF(*columns)
     found = asked.groupBy(*at).cogroup(here.groupBy(*at)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
