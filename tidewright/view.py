@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from dataclasses import replace
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .functions.keys import key_filter, key_of, key_text, same_keys
 from .operators import delta, scoped, verify
@@ -152,7 +154,7 @@ class View:
             return "noop", new, 0
         frame = self._key_frame(keys)
         if m.warm or m.schema:
-            touched = sorted(set(self.store.buckets_of(frame)))
+            touched = self.store.buckets_of(frame)
             kept = scoped.without(self.store.read(m, touched), frame, spec.scope)
             fresh_rows = scoped.recompute(spec, read, frame)
             new |= self.store.write(m, kept.unionByName(fresh_rows.select(*kept.columns)), touched)
@@ -176,9 +178,8 @@ class View:
         spec = self.spec
         summed = delta.build(spec, changes[spec.relation.table])
         path = self.store.data_path("deltas")
-        summed.write.parquet(path)  # a row per changed group; read twice below
+        touched = self.store.write_by_bucket(summed, path)  # a row per changed group
         held = self.spark.read.schema(summed.schema).parquet(path)
-        touched = sorted(set(self.store.buckets_of(held)))
         self.engine.events.emit("maintenance", lambda: {"view": spec.name, "path": "delta", "keys": held.count()})
         if not touched:
             return "noop", {"applied_seq": head}, 0
@@ -188,15 +189,15 @@ class View:
 
     def _keys(self, m: Manifest, changes: dict[str, DataFrame], read, asked: list[tuple]):
         """(key tuples, watermark folder) to recompute; (None, None) to widen."""
-        spec, found = self.spec, []
+        spec, found, unclear = self.spec, [], []
         for table in changes:
             got = scoped.affected(spec, table, changes, read)
             if got is None:
                 return None, None
             keys, partial = got
-            if partial is not None and partial.limit(1).count():
-                return None, None
             found.append(keys)
+            if partial is not None:
+                unclear.append(partial)
         cap = self.engine.config.max_tracked_keys
         marks, tuples = None, []
         if found:
@@ -207,7 +208,14 @@ class View:
             if not m.warm:  # a cold view only keeps what it holds
                 held = self.spark.read.parquet(m.fresh) if m.fresh else self._key_frame([])
                 grouped = grouped.join(held, same_keys(grouped, held, spec.scope), "left_semi")
-            tuples = [tuple(r)[: len(spec.scope)] for r in grouped.limit(cap + 1).collect()]  # at most cap + 1
+            rows = grouped.limit(cap + 1).select(*spec.scope, F.lit(False))
+            nulls = [F.lit(None).cast(f.dataType) for f in rows.schema[: len(spec.scope)]]
+            for images in unclear:  # one of them is enough to widen; asked in the same job
+                rows = rows.unionAll(images.limit(1).select(*nulls, F.lit(True)))
+            got = rows.collect()  # at most cap + 1 keys and a row per table
+            if any(r[-1] for r in got):
+                return None, None
+            tuples = [tuple(r)[:-1] for r in got]
         tuples = list(dict.fromkeys([*tuples, *asked]))
         return (None, None) if len(tuples) > cap else (tuples, marks)
 
@@ -235,8 +243,14 @@ class View:
         return T.StructType([T.StructField(k, whole[k].dataType, True) for k in self.spec.scope])
 
     def _key_frame(self, tuples: list[tuple]) -> DataFrame:
-        """At most ``max_tracked_keys`` rows."""
-        return self.spark.createDataFrame(tuples, self._key_types())
+        """At most ``max_tracked_keys`` rows; a local relation, which is broadcast and projected
+        without a job. Timestamps keep the conversion of plain rows."""
+        types = self._key_types()
+        if any(isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) for f in types):
+            return self.spark.createDataFrame(tuples, types)
+        columns = list(zip(*tuples, strict=True)) if tuples else [()] * len(types)
+        arrays = [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, types, strict=True)]
+        return self.spark.createDataFrame(pa.Table.from_arrays(arrays, types.fieldNames()), schema=types)
 
     def _fresh(self, m: Manifest) -> set[tuple]:
         return {tuple(r) for r in self.spark.read.parquet(m.fresh).collect()} if m.fresh else set()
